@@ -15,12 +15,13 @@ the element count plus k log k.
 
 Joining: 24 bands of 4 coordinates; a pair at 0.8 misses all of them with
 probability (1 - 0.8^4)^24 = 3e-6.  Texts that are equal are one node.  In a
-bucket of several nodes, all are compared exactly with one leader, and
-links are closed to components.  Buckets with more than one component get
-further leaders until what remains, members of smaller components against
-the rest of the bucket, is few pairs; those are all compared.  So a group of
-thousands of near copies costs about one comparison a member, and no pair of
-different components in a bucket is left out.
+bucket of several nodes, all are compared exactly with one leader, and links
+are closed to components, twice.  So a group of thousands of near copies
+costs about two comparisons a member.  The texts of buckets that still hold
+more than one component then meet on their rarest elements (prefix
+filtering, which is exact), and pairs of different components are compared.
+So no link that a bucket holds is lost, and texts that only share a common
+passage don't meet.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._util import durable, matching, text_or_empty
@@ -39,8 +41,8 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-#: Rounds with leaders go on while the pairs left are more than this times the members, up to ROUNDS.
-LEFT, ROUNDS = 4, 6
+#: Rounds in which a bucket's members are compared with one leader.
+LEADERS = 2
 
 
 def weighted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,25 +133,47 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     now = both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.col("c")).alias("label"))
-    now = durable(now)
     while True:
+        now = durable(now)
         near = both.join(now, both["b"] == now["c"]).groupBy(F.col("a").alias("c")).agg(F.min("label").alias("near"))
-        stepped = durable(now.join(near, "c").withColumn("near", F.least("label", "near")))
+        stepped = now.join(near, "c").withColumn("near", F.least("label", "near"))
         hook = stepped.groupBy(F.col("label").alias("c")).agg(F.min("near").alias("hook"))
-        hooked = durable(stepped.join(hook, "c", "left").select("c", "label", F.least("near", F.coalesce("hook", "near")).alias("to")))
-        jump = hooked.select(F.col("c").alias("to"), F.col("to").alias("next"))
+        hooked = stepped.join(hook, "c", "left").select("c", "label", F.least("near", F.coalesce("hook", "near")).alias("to"))
+        jump = now.select(F.col("c").alias("to"), F.col("label").alias("next"))
         new = durable(hooked.join(jump, "to").select("c", "label", F.least("to", "next").alias("new")))
-        changed = not new.where("label <> new").isEmpty()
-        now = new.select("c", F.col("new").alias("label"))
-        if not changed:
+        if new.where("label <> new").isEmpty():
             return now
+        now = new.select("c", F.col("new").alias("label"))
+
 
+def _sets(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(c, items) of the texts that share a bucket with another."""
+    texts = docs.join(members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("text").alias("text"))
+    return durable(texts.mapInArrow(_elements, "c binary, items array<bigint>").repartition("c"))
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+
+def _by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(c, n, a, an) of ``nodes`` (c, n, label) of different labels that could be similar: a superset of those that are.
+
+    With the elements of all sets in one order, rarest first, two sets of
+    that similarity share one of the first n - ceil(threshold n) + 1 elements
+    of each.  What many texts share, a passage say, comes last in that order.
+    """
+    items = durable(nodes.join(sets, "c").select("c", "n", "label", F.explode("items").alias("e")))
+    often = items.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = items.join(often, "e").withColumn("place", F.row_number().over(W.partitionBy("c").orderBy("df", "e")))
+    # Elements of one text only stand before all others and join nothing; they count by what is left out.
+    kept = items.groupBy("c").agg(F.count("*").alias("all"))
+    ranked = ranked.withColumn("shared", F.count("*").over(W.partitionBy("c"))).join(kept, "c")
+    ranked = durable(ranked.where(F.expr("place + all - shared") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("e", "c", "n", "label"))
+    kinds = ranked.groupBy("e", "label").agg(F.count("*").alias("m")).groupBy("e").agg(F.max_by("label", "m").alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    here = ranked.join(kinds.select("e", "main"), "e")
+    few = here.where("label <> main").select("e", F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
+    return here.join(few, "e").where("label <> al")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts have the similarity."""
-    needed = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    texts = docs.join(needed, "c", "left_semi").groupBy("c").agg(F.first("text").alias("text"))
-    sets = durable(texts.mapInArrow(_elements, "c binary, items array<bigint>"))
     x = pairs.join(sets.select(F.col("c").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("c").alias("a"), F.col("items").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return x.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
@@ -164,39 +188,29 @@ def links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, Da
     spread = sketches.select("c", "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     members = durable(spread.join(shared, "bucket"))
-    total = members.count()
-    edges, tested, labels = None, None, members.select("c", F.col("c").alias("label")).distinct()
-    for number in range(ROUNDS + 1):
-        here = durable(members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))) if number else members.withColumn("label", F.col("c"))
-        lead = F.min_by(F.struct(F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al")), F.xxhash64("c", F.lit(number)))
-        if number:
-            kinds = durable(here.groupBy("bucket", "label").agg(F.count("*").alias("m")))
-            mixed = durable(kinds.groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "label")).alias("top")).where("top.m < all").select("bucket", "all", F.col("top.m").alias("m"), F.col("top.label").alias("main")))
-            left = mixed.agg(F.sum(F.expr("(all - m) * all"))).first()[0] or 0
-            if not left:
-                break
-            here = here.join(mixed.select("bucket", "main"), "bucket")
-            last = left <= LEFT * total or number == ROUNDS
-        else:
-            last = False
-        if last:
-            few = here.where("label <> main").select("bucket", F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-            pairs = here.join(few, "bucket").where("label <> al")
-        else:
+    sets = _sets(members, docs)
+    close = F.least("n", "an") >= threshold * F.greatest("n", "an")
+    one, two = F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")
+    edges, tested = None, None
+    here = members.withColumn("label", F.col("c"))
+    for number in range(LEADERS + 1):
+        if number < LEADERS:
+            lead = F.min_by(F.struct(F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al")), F.xxhash64("c", F.lit(number)))
             leaders = here.groupBy("bucket").agg(lead.alias("l")).select("bucket", "l.*")
-            pairs = here.join(leaders, "bucket").where("label <> al")
-        close = F.least("n", "an") >= threshold * F.greatest("n", "an")
-        pairs = pairs.where(close).select(F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = durable(pairs)
-        if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            found = durable(_verified(pairs, docs, threshold).select("a", "b"))
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges)
-        if last:
-            break
+            pairs = here.join(leaders, "bucket").where("label <> al").where(close).select(one, two).distinct()
+        else:
+            pairs = _by_prefix(here.groupBy("c").agg(F.first("n").alias("n"), F.first("label").alias("label")), sets, threshold).where(close).select(one, two).distinct()
+        pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = durable(_verified(pairs, sets, threshold).select("a", "b"))
+        edges = found if edges is None else edges.unionByName(found)
+        labels = components(edges)
+        if number < LEADERS:
+            here = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+            mixed = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+            here = durable(here.join(mixed, "bucket"))
+            if here.isEmpty():
+                break
     return docs.select("doc_id", "c"), labels
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality, sharding, tiling
+from . import html, katz, minhash, mixing, quality, search, secrets, sharding, tiling, token_counts
 from ._util import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,18 +27,43 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language-model score of every document."""
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 50."""
+    return search.top_k(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The posterior of every document, and whether it is kept."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in every document."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_sharding, op8_quality, op10_minhash)}
+    return {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_sharding, op4_html, op5_katz, op6_token_counts, op7_search, op8_quality, op9_secrets, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
