@@ -39,7 +39,7 @@ REST = 0.01
 HOT = 1 / 1000
 SAMPLE = 32
 #: Tokens that a task packs at once.
-PACK = 3_000_000
+PACK = 2_500_000
 START, END = np.uint64(0x5354415254000001), np.uint64(0x454E440000000001)
 SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -254,11 +254,17 @@ def _sums(packs: list[dict], hot: np.ndarray, m: Model, weight: tuple[np.ndarray
     count, known, base, score = np.bincount(t.place, minlength=n), total(c2 > 0), total(m.base(c2)), total(part)
     doc = np.concatenate([x["ids"] for x in packs])
     held = np.concatenate([x["held"] for x in packs])
-    here = count > 0
-    for p, b in _by_row(t.ids, parts):
-        b &= here
-        if b.any():
-            yield p, (t.ids[b], doc[b], held[b], count[b], known[b].astype(np.int64), base[b], score[b])
+    # A text's first token is in one partition only; its id goes with that.
+    start = np.zeros(n, bool)
+    start[t.place[t.context == START]] = True
+    order = np.argsort(t.ids, kind="stable")
+    order = order[count[order] > 0]
+    small = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    for p, b in _by_row(t.ids[order], parts):
+        at = order[b]
+        own = at[start[at]]
+        row = t.ids[at]
+        yield p, (row[:1], small(np.diff(row)), small(count[at]), small(known[at].astype(np.int64)), base[at], score[at], t.ids[own], doc[own], held[own])
 
 
 def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = None) -> DataFrame:
@@ -268,13 +274,13 @@ def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = N
     of the id as text is 2 modulo 7.  A null id counts as '' there.  Null,
     empty and blank texts consist of their end.  With no row to learn from,
     every token is unknown: its score is 0.  parts: partitions of the tables,
-    by default as many as the input has.
+    by default twice as many as the input has.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     flag = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2 if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), flag.alias("held"), F.monotonically_increasing_id().alias("row"))
-    parts = parts or max(16, rows.rdd.getNumPartitions())
+    parts = parts or max(16, 2 * rows.rdd.getNumPartitions())
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,11 +340,12 @@ def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = N
     def gather(items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[bytes]]:
         found = packs(items)
         if whole := [x for x in found if len(x) > 2]:
-            row, doc, held, *values = (np.concatenate(x) for x in zip(*whole, strict=True))
-            order = np.argsort(row, kind="stable")
-            at = _runs(row[order])
-            n, known, base, score = (np.add.reduceat(v[order], at) for v in values)
-            row, doc, held = row[order][at], doc[order][at], held[order][at]
+            row = np.concatenate([np.cumsum(np.append(x[0], x[1].astype(np.int64))) for x in whole])
+            values = [np.concatenate([x[i].astype(float if i > 3 else np.int64) for x in whole]) for i in range(2, 6)]
+            row, n, known, base, score = _grouped(row, *values)
+            first, doc, held = (np.concatenate([x[i] for x in whole]) for i in range(6, 9))
+            order = np.argsort(first, kind="stable")
+            doc, held = doc[order], held[order]
             for own, extra in (x for x in found if len(x) == 2):
                 np.add.at(score, np.searchsorted(row, own), extra)
             yield (pickle.dumps((doc, held, n, known, base, score), 5),)
