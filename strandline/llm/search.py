@@ -36,7 +36,7 @@ TOP = 10
 BLOCK = 64
 #: Terms kept by document in a shard: the most frequent ones, in at least 1 / SPARSE of its documents.
 DENSE, SPARSE = 256, 16
-SHARD_DOCS, SHARD_TOKENS = 32_768, 12_000_000
+SHARD_DOCS, SHARD_TOKENS = 16_384, 4_000_000
 QUERY_TOKENS = 4_000_000
 DIGITS = 9
 NO_ID = (1 << 63) - 1
@@ -126,7 +126,7 @@ class Shard:
         return partial[doc] + (weight @ self.dense[np.ix_(row, doc)] if len(doc) * 4 < self.n else (weight @ self.dense[row])[doc])
 
 
-def index(docs: DataFrame, inputs: int = 4) -> DataFrame:
+def index(docs: DataFrame, inputs: int = 2) -> DataFrame:
     """(n, tokens, shard) of the shards of all rows of ``docs``; each task packs about ``inputs`` input partitions."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
