@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._util import durable, matching, text_or_empty
+from ._util import BROADCAST_ROWS, durable, matching, text_or_empty
 from ._words import blocks, mix, shingles
 
 WORDS = 5
@@ -43,6 +43,8 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Rounds in which a bucket's members are compared with one leader.
 LEADERS = 2
+#: Words of 64 bits in which the parities of a set's hashed elements are kept.
+PARITY = 8
 
 
 def weighted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +123,11 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             items = mix(np.repeat(h, times) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.bincount(doc, times, len(texts)).astype(np.int64))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("c").slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(items))], ["c", "items"])
+            bits = np.zeros((len(texts), PARITY * 64), np.uint8)
+            np.bitwise_xor.at(bits, (np.repeat(doc, times), items.view(np.uint64) % np.uint64(PARITY * 64)), 1)
+            words = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * PARITY), pa.array(words))
+            yield pa.RecordBatch.from_arrays([batch.column("c").slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(ends), pa.array(items)), parity], ["c", "items", "parity"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,24 +138,25 @@ def components(edges: DataFrame) -> DataFrame:
     the longest path.  Only labels move, never whole components.
     """
     both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.col("c")).alias("label"))
+    now = durable(both.groupBy(F.col("a").alias("c")).agg(F.least(F.min("b"), F.col("c")).alias("label")))
+    # One row per node: sent to all tasks while there are few, joined by shuffle beyond that.
+    few = F.broadcast if now.count() <= BROADCAST_ROWS else lambda df: df
     while True:
-        now = durable(now)
-        near = both.join(now, both["b"] == now["c"]).groupBy(F.col("a").alias("c")).agg(F.min("label").alias("near"))
-        stepped = now.join(near, "c").withColumn("near", F.least("label", "near"))
+        near = both.join(few(now), both["b"] == now["c"]).groupBy(F.col("a").alias("c")).agg(F.min("label").alias("near"))
+        stepped = near.join(few(now), "c").withColumn("near", F.least("label", "near"))
         hook = stepped.groupBy(F.col("label").alias("c")).agg(F.min("near").alias("hook"))
-        hooked = stepped.join(hook, "c", "left").select("c", "label", F.least("near", F.coalesce("hook", "near")).alias("to"))
+        hooked = stepped.join(few(hook), "c", "left").select("c", "label", F.least("near", F.coalesce("hook", "near")).alias("to"))
         jump = now.select(F.col("c").alias("to"), F.col("label").alias("next"))
-        new = durable(hooked.join(jump, "to").select("c", "label", F.least("to", "next").alias("new")))
+        new = durable(hooked.join(few(jump), "to").select("c", "label", F.least("to", "next").alias("new")))
         if new.where("label <> new").isEmpty():
             return now
         now = new.select("c", F.col("new").alias("label"))
 
 
 def _sets(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(c, items) of the texts that share a bucket with another."""
+    """(c, items, parity) of the texts that share a bucket with another."""
     texts = docs.join(members.select("c").distinct(), "c", "left_semi").groupBy("c").agg(F.first("text").alias("text"))
-    return durable(texts.mapInArrow(_elements, "c binary, items array<bigint>").repartition("c"))
+    return durable(texts.mapInArrow(_elements, "c binary, items array<bigint>, parity array<bigint>").repartition("c"))
 
 
 def _by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -159,17 +166,20 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     that similarity share one of the first n - ceil(threshold n) + 1 elements
     of each.  What many texts share, a passage say, comes last in that order.
     """
-    items = durable(nodes).join(sets, "c").select("c", "n", "label", F.explode("items").alias("e"))
+    items = durable(nodes).join(sets, "c").select("c", "n", "label", "parity", F.explode("items").alias("e"))
     often = items.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     ranked = items.join(often, "e").withColumn("place", F.row_number().over(W.partitionBy("c").orderBy("df", "e")))
     # Elements of one text only stand before all others and join nothing; they count by what is left out.
     ranked = ranked.withColumn("shared", F.count("*").over(W.partitionBy("c"))).withColumn("place", F.expr("place + n - shared"))
-    ranked = durable(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("e", "c", "n", "label", "place"))
+    ranked = durable(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("e", "c", "n", "label", "place", "parity"))
     kinds = ranked.groupBy("e", "label").agg(F.count("*").alias("m")).groupBy("e").agg(F.max_by("label", "m").alias("main"), F.count("*").alias("labels")).where("labels > 1")
     here = ranked.join(kinds.select("e", "main"), "e")
-    few = here.where("label <> main").select("e", F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("place").alias("ap"))
+    few = here.where("label <> main").select("e", F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("place").alias("ap"), F.col("parity").alias("ay"))
     # From their first common element on, similar sets have room for the overlap that they need.
     room = F.least(F.expr("n - place"), F.expr("an - ap")) + 1 >= (F.col("n") + F.col("an")) * (threshold / (1 + threshold)) - 1e-6
+    # Every element in which two sets differ changes one parity, so they differ in no fewer elements than parities.
+    apart = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("ay")[i])) for i in range(PARITY)), F.lit(0))
+    room = room & (apart <= (F.col("n") + F.col("an")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
     once = (F.col("label") == F.col("main")) | (F.col("a") < F.col("c"))
     return here.join(few, "e").where("label <> al").where(once).where(room)
 
