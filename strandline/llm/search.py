@@ -9,8 +9,9 @@ In a shard, the frequent terms' contributions are kept by document, and their
 maxima by block of ``BLOCK`` documents.  For a query, the postings of its
 other terms give each document a partial score; added to the block maximum of
 the frequent terms that is an upper bound.  The documents with the best bounds
-are scored first and set the threshold; only pivots, documents whose bound
-reaches it, are scored in full.  Scores are rounded to ``DIGITS`` digits, so
+are scored first and set the threshold, or it comes from an eighth of the
+shards, which are searched first; only pivots, documents whose bound reaches
+it, are scored in full.  Scores are rounded to ``DIGITS`` digits, so
 that copies tie; ties go to the lower doc_id.
 
 Queries are taken in blocks of at most ``QUERY_TOKENS`` tokens; each block is
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -97,8 +99,8 @@ class Shard:
         at = np.minimum(np.searchsorted(self.term, term), len(self.term) - 1)
         return np.where(self.term[at] == term, at, -1)
 
-    def best(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, scores) of the best k by score, then id."""
+    def best(self, term: np.ndarray, weight: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, scores) of the best k by score, then id, of those that score ``least`` or more."""
         at = self.find(term)
         here = at >= 0
         at, weight = at[here], weight[here]
@@ -107,23 +109,24 @@ class Shard:
         a, b = self.start[at[rare]], self.start[at[rare] + 1]
         size = b - a
         where = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
-        partial = np.bincount(self.doc[where], self.part[where] * np.repeat(weight[rare], size), self.n)
+        rest = np.bincount(self.doc[where], self.part[where] * np.repeat(weight[rare], size), self.n)
         row, weight = row[common], weight[common]
-        bound = partial + (weight @ self.peak[row])[self.block] if len(row) else partial
+        bound = rest + (weight @ self.peak[row])[self.block] if len(row) else rest
         k = min(k, self.n)
-        lead = np.argpartition(bound, self.n - k)[self.n - k :] if k < self.n else np.arange(self.n)
-        threshold = self._full(lead, partial, row, weight).min()
+        if least <= 0:
+            lead = np.argpartition(bound, self.n - k)[self.n - k :] if k < self.n else np.arange(self.n)
+            least = self._full(lead, rest, row, weight).min()
         # A document that no term of the query is in has no score.
-        pivots = np.flatnonzero((bound >= threshold - 1e-6) & (bound > 0))
-        score = np.round(self._full(pivots, partial, row, weight), DIGITS)
+        pivots = np.flatnonzero((bound >= least - 1e-6) & (bound > 0))
+        score = np.round(self._full(pivots, rest, row, weight), DIGITS)
         order = np.lexsort((self.ids[pivots], -score))[:k]
-        order = order[score[order] > 0]
+        order = order[score[order] > max(0, least - 1e-6)]
         return pivots[order], score[order]
 
-    def _full(self, doc: np.ndarray, partial: np.ndarray, row: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def _full(self, doc: np.ndarray, rest: np.ndarray, row: np.ndarray, weight: np.ndarray) -> np.ndarray:
         if not len(row):
-            return partial[doc]
-        return partial[doc] + (weight @ self.dense[np.ix_(row, doc)] if len(doc) * 4 < self.n else (weight @ self.dense[row])[doc])
+            return rest[doc]
+        return rest[doc] + (weight @ self.dense[np.ix_(row, doc)] if len(doc) * 4 < self.n else (weight @ self.dense[row])[doc])
 
 
 def index(docs: DataFrame, inputs: int = 2) -> DataFrame:
@@ -148,7 +151,7 @@ def index(docs: DataFrame, inputs: int = 2) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     rows = rows.coalesce(max(1, -(-rows.rdd.getNumPartitions() // inputs)))
-    return durable(rows.mapInArrow(build, "n bigint, tokens bigint, shard binary"))
+    return rows.mapInArrow(build, "n bigint, tokens bigint, shard binary")
 
 
 def _query_blocks(queries: DataFrame, size: int) -> Iterator[tuple[list[int], list[np.ndarray], list[np.ndarray]]]:
@@ -166,6 +169,11 @@ def _query_blocks(queries: DataFrame, size: int) -> Iterator[tuple[list[int], li
         yield ids, terms, times
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def top_k(docs: DataFrame, query: Column | None = None, k: int = TOP, query_tokens: int = QUERY_TOKENS) -> DataFrame:
     """The best k rows of ``docs`` for each query: query_id, doc_id, rank (from 1), score.
 
@@ -178,7 +186,9 @@ def top_k(docs: DataFrame, query: Column | None = None, k: int = TOP, query_toke
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    shards = index(docs)
+    leads = F.pmod(F.spark_partition_id() + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.lit(8)) == 0
+    shards = durable(index(docs).withColumn("leads", leads))
+    leading, others = shards.where("leads"), shards.where("not leads")
     count, tokens = shards.agg(F.sum("n"), F.sum("tokens")).first()
     schema = "query_id bigint, doc_id bigint, score double"
     if not count:
@@ -208,20 +218,24 @@ def top_k(docs: DataFrame, query: Column | None = None, k: int = TOP, query_toke
         weights = [n * idf[np.searchsorted(wanted.value, t)] for t, n in zip(terms, times, strict=True)]
         block = sc.broadcast((ids, terms, weights))
 
-        def search(batches: Iterator[pa.RecordBatch], block: object = block) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], block: object = block, least: object = None) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for data in batch.column(0).to_pylist():
                     shard = Shard(data, mean)
-                    rows = [(i, *shard.best(t, w, k)) for i, t, w in zip(*block.value, strict=True)]
+                    floor = least.value if least else [0.0] * len(block.value[0])
+                    rows = [(i, *shard.best(t, w, k, f)) for i, t, w, f in zip(*block.value, floor, strict=True)]
                     query_id = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows])
                     doc_id = shard.ids[np.concatenate([r[1] for r in rows]).astype(np.int64)]
                     score = np.concatenate([r[2] for r in rows])
                     yield pa.RecordBatch.from_arrays([pa.array(query_id, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(score, pa.float64())], ["query_id", "doc_id", "score"])
 
-        best = shards.select("shard").mapInArrow(search, schema)
+        # One shard in eight sets each query's threshold; the others only score what reaches it.
+        first = durable(_ranked(leading.select("shard").mapInArrow(search, schema), k))
+        reached = {r.query_id: r.score for r in first.where(F.col("rank") == k).select("query_id", "score").toLocalIterator()}
+        floor = sc.broadcast([reached.get(i, 0.0) for i in ids])
+        rest = others.select("shard").mapInArrow(partial(search, least=floor), schema)
+        best = first.select("query_id", "doc_id", "score").unionByName(rest)
         out = best if out is None else out.unionByName(best)
     if out is None:
         out = spark.createDataFrame([], schema)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    out = out.withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.select("query_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "rank", "score")
+    return _ranked(out, k).select("query_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "rank", "score")
