@@ -16,8 +16,8 @@ KEYS = {
     "reference": ("answer", "reference", "reference_answer", "gold", "gold_answer", "target", "label", "expected_answer", "answer_key"),
     "query": ("input", "question", "query", "task", "prompt"),
 }
-NODE = "node_id string, parent_id string, children_ids array<string>, depth int, logs array<string>, action_type string, mcts_stats struct<visit_count: int, q_value: double, r_pre: double, r_post: double, expandable: boolean>"
-TRAJECTORY = f"trajectory_id string, source_id string, seed_data string, total_depth int, nodes array<struct<{NODE.replace(' string', ': string').replace(' array<', ': array<').replace(' int,', ': int,').replace('mcts_stats struct', 'mcts_stats: struct')}>>"
+NODE = "node_id: string, parent_id: string, children_ids: array<string>, depth: int, logs: array<string>, action_type: string, mcts_stats: struct<visit_count: int, q_value: double, r_pre: double, r_post: double, expandable: boolean>"
+TRAJECTORY = f"trajectory_id string, source_id string, seed_data string, total_depth int, nodes array<struct<{NODE}>>"
 
 
 def first_character(spark: SparkSession, path: str) -> str:
