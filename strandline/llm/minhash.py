@@ -166,14 +166,14 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     that similarity share one of the first n - ceil(threshold n) + 1 elements
     of each.  What many texts share, a passage say, comes last in that order.
     """
-    items = durable(nodes).join(sets, "c").select("c", "n", "label", "parity", F.explode("items").alias("e"))
+    items = durable(nodes).join(sets, "c").select("c", "n", "label", F.explode("items").alias("e"))
     often = items.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     ranked = items.join(often, "e").withColumn("place", F.row_number().over(W.partitionBy("c").orderBy("df", "e")))
     # Elements of one text only stand before all others and join nothing; they count by what is left out.
     ranked = ranked.withColumn("shared", F.count("*").over(W.partitionBy("c"))).withColumn("place", F.expr("place + n - shared"))
-    ranked = durable(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("e", "c", "n", "label", "place", "parity"))
+    ranked = durable(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("e", "c", "n", "label", "place"))
     kinds = ranked.groupBy("e", "label").agg(F.count("*").alias("m")).groupBy("e").agg(F.max_by("label", "m").alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    here = ranked.join(kinds.select("e", "main"), "e")
+    here = ranked.join(kinds.select("e", "main"), "e").join(sets.select("c", "parity"), "c")
     few = here.where("label <> main").select("e", F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"), F.col("place").alias("ap"), F.col("parity").alias("ay"))
     # From their first common element on, similar sets have room for the overlap that they need.
     room = F.least(F.expr("n - place"), F.expr("an - ap")) + 1 >= (F.col("n") + F.col("an")) * (threshold / (1 + threshold)) - 1e-6
