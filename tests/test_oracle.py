@@ -23,7 +23,7 @@ def duck():
 def norm(v):
     if hasattr(v, "as_integer_ratio") and not isinstance(v, bool):
         v = float(v)
-        return "nan" if math.isnan(v) else f"{v:.4f}".replace("-0.0000", "0.0000")
+        return "nan" if math.isnan(v) else f"{v:.6f}".replace("-0.000000", "0.000000")
     return repr(v)
 
 
