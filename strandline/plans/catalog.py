@@ -240,10 +240,10 @@ def grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("sid", "n", S.grounding(F.col("w"), F.col("s"), F.col("mo"), F.col("c"), F.col("uc"), F.col("n")).alias("score"))
 
 
-@query(GROUND + " select sid, n, round(score, 6) as score from gs")
+@query(GROUND + " select sid, n, round(score + 1e-9, 4) as score from gs")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grounding score of each order's claims."""
-    return grounded(spark, sf_dir).select("sid", "n", F.round("score", 6).alias("score"))
+    return grounded(spark, sf_dir).select("sid", "n", F.round(F.col("score") + 1e-9, 4).alias("score"))
 
 
 @query(GROUND + """, x as (select sid, score, 40.0 + sid % 60 as cover, 50.0 + sid % 50 as ex, 45.0 + sid % 55 as aq, 100.0 - sid % 30 as ef from gs),
