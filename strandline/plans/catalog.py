@@ -289,7 +289,7 @@ def tool_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with t as (select p_brand, p_type, 1.0 + least(1.5, 3.0 * count(*) / sum(count(*)) over (partition by p_brand)) as w from part group by 1, 2),
  h as (select distinct p.p_brand, p.p_type from lineitem l join part p on p.p_partkey = l.l_partkey where l.l_quantity > 49)
- select t.p_brand, round(100.0 * (0.7 * sum(case when h.p_type is not null then w else 0 end) / sum(w) + 0.3 * sum(case when h.p_type is not null and t.p_type > 'M' then w else 0 end) / sum(w)), 2) as coverage from t left join h on h.p_brand = t.p_brand and h.p_type = t.p_type group by t.p_brand""")
+ select t.p_brand, round(7e-9 + 100.0 * (0.7 * sum(case when h.p_type is not null then w else 0 end) / sum(w) + 0.3 * sum(case when h.p_type is not null and t.p_type > 'M' then w else 0 end) / sum(w)), 2) as coverage from t left join h on h.p_brand = t.p_brand and h.p_type = t.p_type group by t.p_brand""")
 def coverage_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted recall of coverage targets by what order lines touched."""
     p = table(spark, sf_dir, "part")
@@ -297,7 +297,7 @@ def coverage_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = table(spark, sf_dir, "lineitem").where("l_quantity > 49").join(p, F.col("l_partkey") == F.col("p_partkey")).select("p_brand", "p_type").distinct().withColumn("hit", F.lit(True))
     x = t.join(hit, ["p_brand", "p_type"], "left")
     part = lambda c: F.sum(F.when(c, F.col("w")).otherwise(F.lit(0.0))) / F.sum("w")
-    return x.groupBy("p_brand").agg(S.coverage(part(F.col("hit")), part(F.col("hit") & (F.col("p_type") > "M"))).alias("coverage"))
+    return x.groupBy("p_brand").agg(S.coverage(part(F.col("hit")) + 1e-10, part(F.col("hit") & (F.col("p_type") > "M"))).alias("coverage"))
 
 
 @query("""select d.doc_id, case when l.quality is null then null else (l.quality::varchar = (d.n_chars % 2)::varchar) end as tir_correct,
