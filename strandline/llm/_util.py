@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A table of at most this many rows (of a few numbers each) may be broadcast.
 BROADCAST_ROWS = 100_000
+#: Whether an action removes its shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,19 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the session's ``spark.checkpoint.dir``; only where that is
     unset (local tests) a temporary one is taken.  Spark removes the files
     when nothing refers to the rows any more, if
-    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.  The shuffle
+    files that the rows came through go as soon as the rows are written, not
+    when the driver next collects its garbage.
     """
+    conf = df.sparkSession.conf
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        # A new reference: one that is executed again must not find its shuffle files gone.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
