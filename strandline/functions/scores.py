@@ -93,6 +93,34 @@ def prior_entropy(priors: Column, temperature: float = 0.3) -> Column:
     return F.when(F.size(priors) <= 1, F.lit(0.0)).otherwise(clamp(h / F.log(F.size(priors).cast("double")), 0, 1))
 
 
+def token_entropy(logprobs: Column, tokens: int = 20) -> Column:
+    """Entropy of the first tokens' alternatives as a share of its maximum.
+
+    logprobs: array of structs with ``logprob`` and ``top_logprobs``, an array
+    of structs with ``logprob``.  A token without alternatives counts by its
+    own logprob, one without either not at all.  Null or empty gives 0.
+    """
+    known = lambda a: F.filter(a, lambda v: v.isNotNull())
+    own = lambda t: F.array(t["logprob"].cast("double"))
+    each = F.transform(
+        F.slice(logprobs, 1, tokens),
+        lambda t: known(F.when(F.coalesce(F.size(t["top_logprobs"]), F.lit(0)) > 0, F.transform(t["top_logprobs"], lambda x: x["logprob"].cast("double"))).otherwise(own(t))),
+    )
+    n = F.size(F.filter(each, lambda a: F.size(a) > 0)).cast("double")
+    flat = F.flatten(each)
+    h = F.aggregate(flat, F.lit(0.0), lambda a, v: a - F.exp(v) * v)
+    width = F.size(flat) / n
+    most = F.when(width > 1, n * F.log(width)).otherwise(n * F.exp(F.lit(-1.0)))
+    return F.coalesce(F.when(n > 0, clamp(h / most, 0, 1)), F.lit(0.0))
+
+
+def step_entropy(prior: Column, token: Column, prior_weight: float = 0.5, token_weight: float = 0.5) -> Column:
+    """Weighted mean of the two entropies; the prior's alone where ``token`` is null or no weight is left."""
+    both = prior_weight + token_weight
+    mean = clamp((prior_weight * prior + token_weight * clamp(token, 0, 1)) / both, 0, 1) if both > 0 else prior
+    return F.when(token.isNull(), clamp(prior, 0, 1) if prior_weight > 0 else prior).otherwise(mean)
+
+
 def branches(entropy: Column, n: Column, most: int, least: int = 1) -> Column:
     cap = F.least(F.lit(most), n)
     floor = F.greatest(F.lit(1), F.least(F.lit(least), cap))

@@ -45,3 +45,13 @@ def root_paths(nodes: DataFrame, depth: int) -> DataFrame:
     x = ancestors(nodes, depth).join(leaves, "node", "left_semi")
     path = F.transform(F.sort_array(F.collect_list(F.struct(F.col("hops"), F.col("ancestor"))), False), lambda s: s["ancestor"].cast("string"))
     return x.groupBy(F.col("node").alias("leaf")).agg(F.count("*").alias("length"), F.array_join(path, ">").alias("path"))
+
+
+def pending_leaves(nodes: DataFrame, stop: str = "STOP") -> DataFrame:
+    """Rows of ``nodes`` (node, parent, action, answered) that still need an answer: leaves below a root, with an action other than ``stop``.
+
+    A null ``answered`` counts as false; a null or blank action, or a null parent, rules a node out.
+    """
+    open_ = F.col("parent").isNotNull() & (F.trim("action") != "") & (F.col("action") != stop) & ~F.coalesce("answered", F.lit(False))
+    parents = nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct()
+    return nodes.where(open_).join(parents, "node", "left_anti")

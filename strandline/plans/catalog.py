@@ -363,6 +363,14 @@ def heap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("node"), F.when(F.col("event_id") > 1, F.expr("event_id div 2")).alias("parent"), "value")
 
 
+@query("with n as (select event_id as node, event_id // 2 as parent, event_type from events where event_id > 1) select node, event_type as action from n where event_type <> 'error' and node % 7 <> 0 and node not in (select parent from n)")
+def pending_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of the tree of all events that have no answer yet."""
+    e = table(spark, sf_dir, "events").where("event_id >= 1")
+    nodes = e.select(F.col("event_id").alias("node"), F.expr("case when event_id > 1 then event_id div 2 end").alias("parent"), F.col("event_type").alias("action"), F.expr("event_id % 7 = 0").alias("answered"))
+    return graph.pending_leaves(nodes, "error").select("node", "action")
+
+
 @query(f"with recursive {TREE}, up as (select node as leaf, node, node::varchar as path, 1 as n from nodes where node not in (select parent from nodes where parent is not null) union all select leaf, p.parent, p.parent::varchar || '>' || path, n + 1 from up join nodes p on p.node = up.node where p.parent is not null) select leaf, n::bigint as length, path from up where node = 1")
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root-to-leaf paths of a tree of events."""
@@ -402,6 +410,19 @@ def prior_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("vec_id", "entropy", S.branches(F.col("entropy"), F.col("n"), 6).alias("k"))
 
 
+@query("""with l as (select vec_id, list_transform(embedding, lambda x: -abs(x::double) * 10) as l from embeddings),
+ h as (select vec_id, case when vec_id % 3 = 0 then list_sum(list_transform(l[1:20], lambda x: -exp(x) * x)) / (20 / exp(1)) else list_sum(list_transform(l, lambda x: -exp(x) * x)) / (16 * ln(4)) end as h from l)
+ select vec_id, round(least(1, h), 4) as token, round((0.25 + least(1, h)) / 2, 4) as step from h""")
+def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy of tokens with four alternatives or none, and of the step with a prior's entropy of 0.25."""
+    kind = "array<struct<logprob: double, top_logprobs: array<struct<logprob: double>>>>"
+    x = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "transform(embedding, x -> -abs(cast(x as double)) * 10) as l")
+    alone = F.expr(f"cast(transform(l, x -> struct(x, cast(null as array<struct<logprob: double>>))) as {kind})")
+    fours = F.expr(f"cast(transform(sequence(0, 15), i -> struct(cast(null as double), transform(slice(l, i * 4 + 1, 4), x -> struct(x)))) as {kind})")
+    h = S.token_entropy(F.when(F.col("vec_id") % 3 == 0, alone).otherwise(fours))
+    return x.select("vec_id", r4(h).alias("token"), r4(S.step_entropy(F.lit(0.25), h)).alias("step"))
+
+
 @query("""with n as (select *, p_partkey % 4 as v, p_retailprice / 2000 as q, p_size / 50.0 as r from part), b as (select p_brand, avg(q - r) filter (where v > 0) as bias, sum(v) as pv from n group by 1)
  select p_partkey, round(case when v = 0 then greatest(r + coalesce(bias, 0) - 0.1, 0) + r * sqrt(ln(greatest(pv, 1) + 1)) + 0.1 else q + r * sqrt(ln(greatest(pv, 1) + 1)) / sqrt(1 + v) + 0.1 end, 4) as uct from n join b using (p_brand)""")
 def uct(spark: SparkSession, sf_dir: str) -> DataFrame:

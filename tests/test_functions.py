@@ -86,3 +86,14 @@ def test_stream(spark, tmp_path):
     q = score_stream(spark, str(tmp_path / "in"), "sample_id string, v int", lambda d: d.withColumn("s", F.col("v") * 2), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert {(r.sample_id, r.s) for r in spark.read.parquet(str(tmp_path / "out/v=0")).collect()} == {("a", 2), ("b", 4)}
+
+
+def test_entropies(spark, value):
+    kind = "array<struct<logprob: double, top_logprobs: array<struct<logprob: double>>>>"
+    made = lambda sql: F.expr(f"cast({sql} as {kind})")
+    half = "ln(cast(0.5 as double))"
+    assert value(S.token_entropy(made(f"array(struct({half}, array(struct({half}), struct({half}))))"))) == pytest.approx(1.0)
+    assert value(S.token_entropy(made("array(struct(cast(-1 as double), cast(null as array<struct<logprob: double>>)))"))) == pytest.approx(1.0)
+    assert value(S.token_entropy(made("null"))) == 0 and value(S.token_entropy(made("array()"))) == 0
+    assert value(S.step_entropy(L(0.2), L(0.6))) == pytest.approx(0.4)
+    assert value(S.step_entropy(L(0.2), L(None).cast("double"))) == pytest.approx(0.2)
