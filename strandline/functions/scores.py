@@ -136,3 +136,79 @@ def rank_at(n: int, share: float = 0.8) -> int:
     return round(share * (n - 1))
 
 
+
+
+#: Weights of claims by kind, those that are critical, and the words of a section.
+CLAIM_WEIGHTS = {"path": 1.0, "extension": 0.7, "count": 1.4, "column": 1.1}
+CRITICAL = ("path", "count", "column")
+SECTIONS = {
+    "inventory": ("file", "directory", "folder", "extension", "subdir", "subdirectory"),
+    "schema": ("schema", "column", "field", "row", "record", "dtype"),
+    "summary": ("summary", "metadata", "dataset", "structure"),
+    "calibration": ("uncertain", "unable", "not inspected", "not available", "could not", "missing"),
+}
+
+
+def claim_weight(kind: Column) -> Column:
+    return sum((F.when(kind == k, F.lit(w)).otherwise(0.0) for k, w in CLAIM_WEIGHTS.items()), F.lit(0.0))
+
+
+def section_hits(lower: Column) -> Column:
+    """How many groups of section words a lower-case text touches."""
+    return sum((lower.rlike("|".join(words)).cast("int") for words in SECTIONS.values()), F.lit(0))
+
+
+def paragraphs(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, "\n\n"), lambda x: x.rlike(r"\S")))
+
+
+def structure(is_json: Column, n_paragraphs: Column, n_sections: Column, meta_json: Column) -> Column:
+    share = lambda n: F.least(F.lit(1.0), n / 3.0)
+    parts = 0.15 + 0.40 * is_json.cast("int") + 0.20 * share(n_paragraphs) + 0.20 * share(n_sections) + 0.05 * meta_json.cast("int")
+    return F.least(F.lit(1.0), parts)
+
+
+def specificity(paths: Column, extensions: Column, counts: Column, columns: Column) -> Column:
+    return F.least(F.lit(1.0), (paths + extensions + 1.2 * counts + 0.5 * columns) / 8.0)
+
+
+def consistency(total: Column, contradicted: Column, unsupported_critical: Column, answered: Column) -> Column:
+    held = F.greatest(F.lit(0.0), 1.0 - 0.9 * ratio(contradicted, total) - 0.4 * ratio(unsupported_critical, total))
+    return F.when(total > 0, held).when(answered, F.lit(0.35)).otherwise(F.lit(0.0))
+
+
+def calibration(cover: Column, uncertain: Column, contradictions: Column) -> Column:
+    low = F.when(uncertain, F.lit(1.0)).otherwise(F.lit(0.30))
+    return F.when(cover < 60, low).when(contradictions == 0, F.lit(0.90)).otherwise(F.lit(0.50))
+
+
+def answer_quality(structured: Column, specific: Column, consistent: Column, calibrated: Column) -> Column:
+    return clamp(100.0 * (0.35 * structured + 0.25 * specific + 0.25 * consistent + 0.15 * calibrated))
+
+
+def coverage_without_targets(operations: Column, paths: Column, claims: Column) -> Column:
+    return F.round(clamp(15.0 + 12.0 * operations + 4.0 * paths + 3.0 * claims), 2)
+
+
+def tokens_used(exact: Column, characters: Column) -> Column:
+    """Counted tokens, else a quarter of the characters, one at least."""
+    return F.coalesce(exact.cast("bigint"), F.greatest(F.lit(1), F.floor(characters / 4)).cast("bigint"))
+
+
+def judge_score(reply: Column) -> Column:
+    """``score`` of a reply's JSON object, 0 where it is no number, within 0 and 1."""
+    return clamp(F.coalesce(F.get_json_object(reply, "$.score").try_cast("double"), F.lit(0.0)), 0, 1)
+
+
+def strategy_prior(prior: Column, confidence: Column) -> Column:
+    return clamp(prior * clamp(confidence, 0, 1), 0, 1)
+
+
+def warnings(manifest: Column, steps: Column, errors: Column, duplicates: Column, near: Column, threshold: Column, unsupported: Column, contradicted: Column, cover: Column) -> Column:
+    """Names of what is doubtful about a trajectory."""
+    rules = {
+        "manifest_unavailable": ~manifest, "no_tool_calls": steps == 0, "result_errors": errors > 0, "duplicate_tool_calls": duplicates > 0,
+        "near_duplicate_tool_calls": near > 0, "tool_frequency_exceeded": steps > threshold, "unsupported_answer_claims": unsupported > 0,
+        "answer_evidence_conflict": contradicted > 0, "underexplored_dataset": cover < 50,
+    }
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))

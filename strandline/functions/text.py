@@ -54,6 +54,11 @@ def squeeze(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def last_answer(text: Column) -> Column:
     """A trailing unclosed answer, else the last closed one, else the text without think, python and result blocks."""
     closed = F.regexp_extract_all(text, F.lit(r"(?s)<answer>(.*?)</answer>"), 1)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -55,3 +56,48 @@ def pending_leaves(nodes: DataFrame, stop: str = "STOP") -> DataFrame:
     open_ = F.col("parent").isNotNull() & (F.trim("action") != "") & (F.col("action") != stop) & ~F.coalesce("answered", F.lit(False))
     parents = nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct()
     return nodes.where(open_).join(parents, "node", "left_anti")
+
+
+def edges(nodes: DataFrame) -> DataFrame:
+    """Distinct (src, dst) from the parents and the children (arrays) of ``nodes`` (node, parent, children)."""
+    down = nodes.select(F.col("node").alias("src"), F.explode("children").alias("dst"))
+    return nodes.where("parent is not null").select(F.col("parent").alias("src"), F.col("node").alias("dst")).union(down).distinct()
+
+
+def levels(nodes: DataFrame, depth: int) -> DataFrame:
+    """(node, level): hops from the root of its tree, up to ``depth``."""
+    return ancestors(nodes, depth).groupBy("node").agg(F.max("hops").alias("level"))
+
+
+def chain(nodes: DataFrame, tree: str, order: str) -> DataFrame:
+    """``nodes`` (tree, order, node, parent) as a chain: children is the next one alone; a parent outside the chain is replaced by the one before, the first has none."""
+    at = W.partitionBy(tree).orderBy(order)
+    inside = nodes.select(tree, F.col("node").alias("parent")).distinct().withColumn("kept", F.lit(True))
+    x = nodes.withColumns({"prev": F.lag("node").over(at), "next": F.lead("node").over(at)}).join(inside, [tree, "parent"], "left")
+    parent = F.when(F.col("prev").isNull(), F.lit(None)).when(F.col("kept"), F.col("parent")).otherwise(F.col("prev"))
+    return x.select(tree, order, "node", parent.alias("parent"), F.array_compact(F.array("next")).alias("children"))
+
+
+def deepest(nodes: DataFrame, tree: str, bad: Column) -> DataFrame:
+    """(tree, node) of the deepest leaf of each tree, the first by position, that is ``bad`` and has a parent."""
+    inner = nodes.where("parent is not null").select(tree, F.col("parent").alias("node")).distinct()
+    leaves = nodes.where(bad & F.col("parent").isNotNull()).join(inner, [tree, "node"], "left_anti")
+    return leaves.groupBy(tree).agg(F.min_by("node", F.struct(-F.col("depth"), F.col("pos"))).alias("node"))
+
+
+def until(rows: DataFrame, group: str, order: str, success: str, most: int) -> DataFrame:
+    """Rows of each group up to and with the one of its ``most``-th success."""
+    before = F.coalesce(F.sum(F.col(success).cast("int")).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("before", before).where(F.col("before") < most).drop("before")
+
+
+def context(steps: DataFrame, sample: str, order: str, text: str, detailed: int = 2, brief: int = 200) -> DataFrame:
+    """``steps`` with shown: the last ``detailed`` texts of each sample whole, older ones on one line of up to ``brief`` characters."""
+    back = F.row_number().over(W.partitionBy(sample).orderBy(F.desc(order)))
+    line = F.btrim(F.regexp_replace(text, r"\s+", " "))
+    return steps.withColumn("back", back).withColumn("shown", F.when(F.col("back") <= detailed, F.col(text)).otherwise(F.substring(line, 1, brief))).drop("back")
+
+
+def best_child(children: DataFrame, parent: str, value: str, node: str) -> DataFrame:
+    """(parent, node) of the child with the greatest value, ties to the least node."""
+    return children.where("expandable").groupBy(parent).agg(F.min_by(node, F.struct(-F.col(value), F.col(node))).alias(node))

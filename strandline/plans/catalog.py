@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -532,8 +533,10 @@ def react_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    importlib.import_module("strandline.plans.records")
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    importlib.import_module("strandline.plans.records")
     return dict(_ORACLE)
