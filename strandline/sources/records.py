@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -52,12 +54,16 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.coalesce("content", F.raise_error(F.lit("a seed has no content"))).alias("content"), F.coalesce("kwargs", F.create_map().cast("map<string,string>")).alias("kwargs"))
 
 
+def relative(path: str, root: str) -> Column:
+    """The path of a file below ``root``."""
+    marker = root.rstrip("/").split("://")[-1].split(":", 1)[-1] + "/"
+    return F.element_at(F.split(path, F.regexp_replace(F.lit(marker), r"([.\[\]{}()*+?^$|\\])", r"\\$1"), 2), -1)
+
+
 def inventory(spark: SparkSession, root: str, max_files: int = 2000) -> DataFrame:
-    """Files under a folder: rel_path, suffix, size, top_level, depth; by name, up to ``max_files``."""
+    """Files under a folder: rel_path, suffix, size, top_level, depth; by name, up to ``max_files``; files of no bytes are left out by Spark's scan."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    marker = root.rstrip("/").split("://")[-1].split(":", 1)[-1] + "/"
-    rel = F.element_at(F.split("path", F.regexp_replace(F.lit(marker), r"([.\[\]{}()*+?^$|\\])", r"\\$1"), 2), -1)
-    x = files.select(rel.alias("rel_path"), F.col("length").alias("size"))
+    x = files.select(relative("path", root).alias("rel_path"), F.col("length").alias("size"))
     suffix = F.lower(F.regexp_extract("rel_path", r"(\.[^./]+)$", 1))
     top = F.when(F.contains("rel_path", F.lit("/")), F.split_part("rel_path", F.lit("/"), F.lit(1))).otherwise("<root>")
     x = x.select("rel_path", F.when(suffix == "", "<no_ext>").otherwise(suffix).alias("suffix"), "size", top.alias("top_level"), (F.regexp_count("rel_path", F.lit("/")) + 0).alias("depth"))
@@ -82,3 +88,57 @@ def discover(spark: SparkSession, *roots: str) -> DataFrame:
     """Trajectories of all ``root/*/trajectories.jsonl``, with the file they come from."""
     df = spark.read.schema(TRAJECTORY).json([f"{r.rstrip('/')}/*/trajectories.jsonl" for r in roots])
     return df.withColumn("file", F.col("_metadata.file_path"))
+
+
+def read_meta_outputs(spark: SparkSession, paths: DataFrame, root: str) -> DataFrame:
+    """``paths`` (rel_path) with exists, non_empty and valid_json of the file under ``root``.
+
+    valid_json is null unless the name ends in .json.  A null path exists
+    nowhere.  Spark's scan leaves out files of no bytes, so they count as
+    missing; non_empty is false either way.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    wanted = paths.select("rel_path").where("rel_path is not null").distinct()
+    at = relative("path", root)
+    text = F.when(F.endswith("rel_path", F.lit(".json")), F.decode("content", "UTF-8"))
+    found = files.withColumn("rel_path", at).join(wanted, "rel_path", "left_semi")
+    found = found.select("rel_path", F.lit(True).alias("exists"), (F.col("length") > 0).alias("non_empty"), F.try_parse_json(text).isNotNull().alias("ok"))
+    x = paths.join(found, "rel_path", "left").fillna(False, ["exists", "non_empty"])
+    return x.withColumn("valid_json", F.when(F.endswith("rel_path", F.lit(".json")), F.coalesce("ok", F.lit(False)))).drop("ok")
+
+
+def slice_by_name(df: DataFrame, name: str, first: str, last: str, expected: int | None = None) -> DataFrame:
+    """Rows whose ``name`` lies from ``first`` to ``last``, both of which must occur; ``expected`` is the number of names, if stated."""
+    if first > last:
+        raise ValueError(f"the range begins at {first}, after its end {last}")
+    part = df.where(F.col(name).between(first, last))
+    seen = part.agg(F.count_if(F.col(name) == first).alias("a"), F.count_if(F.col(name) == last).alias("b"), F.count_distinct(name).alias("n")).first()
+    if not (seen.a and seen.b):
+        raise ValueError(f"no {name} {last if seen.a else first}")
+    if expected is not None and seen.n != expected:
+        raise ValueError(f"{seen.n} names in the range, not {expected}")
+    return part
+
+
+def raw_folder(path: Column) -> Column:
+    """The folder of raw files of a dataset."""
+    x = F.rtrim(path, F.lit("/"))
+    return F.when(F.regexp_extract(x, r"([^/]*)$", 1) == "raw", x).otherwise(F.concat(x, F.lit("/raw")))
+
+
+def summarize_jsonl(spark: SparkSession, path: str, head: int = 50, names: int = 100) -> DataFrame:
+    """One row: keys of the first ``head`` objects of a file, sorted, up to ``names``, and its number of lines that aren't blank."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    keys = lines.limit(head).select(F.explode(F.json_object_keys("value")).alias("k"))
+    columns = keys.agg(F.slice(F.array_sort(F.collect_set("k")), 1, names).alias("columns"), F.lit(None).cast("bigint").alias("rows"))
+    rows = lines.agg(F.lit(None).cast("array<string>").alias("columns"), F.count("*").alias("rows"))
+    return columns.unionByName(rows).agg(F.max("columns").alias("columns"), F.max("rows").alias("rows"))
+
+
+def env_substituted(value: object, env: dict[str, str]) -> object:
+    """Settings with every ``${NAME}`` that ``env`` has filled in, others left as they are; lists of strings stay lists."""
+    if isinstance(value, str):
+        return re.sub(r"\$\{(\w+)\}", lambda m: env.get(m[1], m[0]), value)
+    if isinstance(value, dict):
+        return {k: env_substituted(v, env) for k, v in value.items()}
+    return [env_substituted(v, env) for v in value] if isinstance(value, list) else value

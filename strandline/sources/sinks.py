@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.relational import upsert
@@ -28,3 +31,37 @@ def to_chat(records: DataFrame, sample_id: str, prompt: str, output: str, logs:
 def tree_lines(paths: DataFrame) -> DataFrame:
     """Text lines of a tree, from (node, depth, order): indented by depth."""
     return paths.select("order", F.concat(F.repeat(F.lit("  "), F.col("depth")), F.lit("- "), F.col("node").cast("string")).alias("line"))
+
+
+def write_records(df: DataFrame, path: str, array: bool) -> None:
+    """Records as they came: JSON lines, or one JSON array a part file (a frame without partitions leaves an empty file)."""
+    if not array:
+        write_jsonl(df, path)
+        return
+    # Lines of one partition joined to an array by their ends, so that no partition is held whole.
+    rows = df.select(F.to_json(F.struct("*")).alias("value"))
+    lines = rows.mapInArrow(_bracketed, "value string")
+    lines.write.mode("overwrite").text(path)
+
+
+def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lead = "["
+    for batch in batches:
+        out = []
+        for x in batch.column(0).to_pylist():
+            out.append(lead + x)
+            lead = ","
+        yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+    yield pa.RecordBatch.from_pydict({"value": pa.array(["[]" if lead == "[" else "]"], pa.string())})
+
+
+def dot_lines(edges: DataFrame) -> DataFrame:
+    """(src, dst, line): the edges of a graph in DOT form, without its head and foot."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return edges.select("src", "dst", F.concat(F.lit("  "), quoted("src"), F.lit(" -> "), quoted("dst"), F.lit(";")).alias("line"))
+
+
+def manifest_name(path: Column) -> Column:
+    """The file name of the manifest of an input path: its cleaned head and a digest."""
+    clean = F.nullif(F.substring(F.regexp_replace(path, "[^a-zA-Z0-9._-]+", "_"), 1, 80), F.lit(""))
+    return F.concat(F.coalesce(clean, F.lit("empty_input_path")), F.lit("__"), F.substring(F.sha1(F.coalesce(path, F.lit(""))), 1, 10), F.lit(".json"))
