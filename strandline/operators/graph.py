@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def ancestors(nodes: DataFrame, depth: int) -> DataFrame:
-    """(node, ancestor, hops) for every node and each ancestor, itself included, up to ``depth`` hops.
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage, its rows in the shared checkpoint folder (a temporary one where none is set, as in tests)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+    return df.checkpoint(eager=True)
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """(node, path) of every node: ids from the root of its tree down to itself, whatever the depth.
 
-    Self-joins of a stated number, one for each level; parents that are no node end a path.
+    Paths double in length each round, so there are as many rounds as the depth
+    has binary digits.  Parents that are no node end a path; a cycle, which has
+    no root, is an error.
     """
-    pairs = nodes.select(F.col("node"), F.col("node").alias("ancestor"), F.lit(0).alias("hops"))
-    parents = nodes.select(F.col("node").alias("ancestor"), F.col("parent").alias("up"))
-    ids = nodes.select(F.col("node").alias("up"))
-    out = level = pairs
-    for hops in range(1, depth + 1):
-        level = level.join(parents, "ancestor").where("up is not null").join(ids, "up", "left_semi").select("node", F.col("up").alias("ancestor"), F.lit(hops).alias("hops"))
-        out = out.unionByName(level)
-    return out
+    x = stored(nodes.select("node", F.array("node").alias("path"), F.col("parent").alias("up")))
+    most, length = x.count(), 1
+    while not x.where("up is not null").isEmpty():
+        if length > most:
+            raise ValueError("parents form a cycle")
+        above = x.select(F.col("node").alias("up"), F.col("path").alias("upper"), F.col("up").alias("next"))
+        longer = x.where("up is not null").join(above, "up", "left")
+        longer = longer.select("node", F.concat(F.coalesce("upper", F.array().cast(x.schema["path"].dataType)), "path").alias("path"), F.col("next").alias("up"))
+        x, length = stored(x.where("up is null").unionByName(longer)), 2 * length
+    return x.select("node", "path")
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, hops) for every node and each ancestor, itself included."""
+    x = paths(nodes).select("node", F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor"))
+    return x.select("node", "ancestor", (F.col("n") - 1 - F.col("at")).alias("hops"))
 
 
-def backpropagate(closure: DataFrame, rewards: DataFrame) -> DataFrame:
+def backpropagate(nodes: DataFrame, rewards: DataFrame) -> DataFrame:
     """(node, visits, q): how many rewards lie at or under each node, and their mean."""
-    x = closure.join(rewards, "node").groupBy("ancestor").agg(F.count("*").alias("visits"), F.avg("reward").alias("q"))
-    return x.withColumnRenamed("ancestor", "node")
+    x = paths(nodes).join(rewards, "node").select(F.explode("path").alias("node"), "reward")
+    return x.groupBy("node").agg(F.count("*").alias("visits"), F.avg("reward").alias("q"))
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
@@ -39,13 +59,12 @@ def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(entered, "node", "left_anti")
 
 
-def root_paths(nodes: DataFrame, depth: int) -> DataFrame:
+def root_paths(nodes: DataFrame) -> DataFrame:
     """(leaf, length, path) of every leaf: node ids from the root, joined by >."""
     inner = nodes.select(F.col("parent").alias("node")).where("node is not null").distinct()
-    leaves = nodes.join(inner, "node", "left_anti").select("node")
-    x = ancestors(nodes, depth).join(leaves, "node", "left_semi")
-    path = F.transform(F.sort_array(F.collect_list(F.struct(F.col("hops"), F.col("ancestor"))), False), lambda s: s["ancestor"].cast("string"))
-    return x.groupBy(F.col("node").alias("leaf")).agg(F.count("*").alias("length"), F.array_join(path, ">").alias("path"))
+    x = paths(nodes).join(inner, "node", "left_anti")
+    path = F.array_join(F.transform("path", lambda n: n.cast("string")), ">")
+    return x.select(F.col("node").alias("leaf"), F.size("path").cast("bigint").alias("length"), path.alias("path"))
 
 
 def pending_leaves(nodes: DataFrame, stop: str = "STOP") -> DataFrame:
@@ -64,9 +83,9 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent is not null").select(F.col("parent").alias("src"), F.col("node").alias("dst")).union(down).distinct()
 
 
-def levels(nodes: DataFrame, depth: int) -> DataFrame:
-    """(node, level): hops from the root of its tree, up to ``depth``."""
-    return ancestors(nodes, depth).groupBy("node").agg(F.max("hops").alias("level"))
+def levels(nodes: DataFrame) -> DataFrame:
+    """(node, level): hops from the root of its tree."""
+    return paths(nodes).groupBy("node").agg(F.max(F.size("path") - 1).alias("level"))
 
 
 def chain(nodes: DataFrame, tree: str, order: str) -> DataFrame:

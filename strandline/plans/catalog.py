@@ -360,7 +360,8 @@ TREE = "nodes as (select event_id as node, case when event_id > 1 then event_id
 
 
 def heap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id between 1 and 2000")
+    """All events as a binary heap: 1 is the root, and 0 has no place in one."""
+    e = table(spark, sf_dir, "events").where("event_id >= 1")
     return e.select(F.col("event_id").alias("node"), F.when(F.col("event_id") > 1, F.expr("event_id div 2")).alias("parent"), "value")
 
 
@@ -375,14 +376,14 @@ def pending_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with recursive {TREE}, up as (select node as leaf, node, node::varchar as path, 1 as n from nodes where node not in (select parent from nodes where parent is not null) union all select leaf, p.parent, p.parent::varchar || '>' || path, n + 1 from up join nodes p on p.node = up.node where p.parent is not null) select leaf, n::bigint as length, path from up where node = 1")
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Root-to-leaf paths of a tree of events."""
-    return graph.root_paths(heap(spark, sf_dir).select("node", "parent"), 11)
+    return graph.root_paths(heap(spark, sf_dir).select("node", "parent"))
 
 
 @query(f"with recursive {TREE}, up as (select node, node as anc, value from nodes union all select up.node, p.parent, up.value from up join nodes p on p.node = up.anc where p.parent is not null) select anc as node, count(*) as visits, round(avg(value), 4) as q from up group by anc")
 def backprop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits and mean reward of every node from those below."""
     n = heap(spark, sf_dir)
-    x = graph.backpropagate(graph.ancestors(n.select("node", "parent"), 11), n.select("node", F.col("value").alias("reward")))
+    x = graph.backpropagate(n.select("node", "parent"), n.select("node", F.col("value").alias("reward")))
     return x.select("node", "visits", r4(F.col("q")).alias("q"))
 
 

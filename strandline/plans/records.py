@@ -163,7 +163,7 @@ def chain_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with recursive nodes as (select event_id as node, case when event_id > 1 then event_id // 2 end as parent from events where event_id between 1 and 2000), down as (select node, 0 as level from nodes where parent is null union all select n.node, level + 1 from down d join nodes n on n.parent = d.node) select level::bigint as level, count(*) as n from down group by 1")
 def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by level of a tree of events."""
-    return graph.levels(heap(spark, sf_dir).select("node", "parent"), 11).groupBy(c("level").cast("bigint").alias("level")).agg(F.count("*").alias("n"))
+    return graph.levels(heap(spark, sf_dir).select("node", "parent")).groupBy(c("level").cast("bigint").alias("level")).agg(F.count("*").alias("n"))
 
 
 @query("select distinct event_id // 2 as src, event_id as dst from events where event_id > 1 union select event_id, event_id * 3 from events where event_id % 5 = 0")
