@@ -31,8 +31,9 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----", re.S)
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){24,}\Z")
+#: Runs that may encode a secret, from the shortest text that a base pattern matches: "token=" and six characters, 12 bytes.
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){12,}\Z")
 Span = tuple[str, int, int]
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
