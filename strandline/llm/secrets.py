@@ -6,7 +6,10 @@ if the bytes are a private key (DER whose nested lengths all add up and whose
 fields are those of PKCS#1, PKCS#8 or SEC1, or an OpenSSH key with its
 length-prefixed strings), or text that holds an assignment or access key.
 Signed tokens are reported if header and payload decode to JSON objects and
-the header names an algorithm; PEM blocks if their body is such a key.
+the header names an algorithm; PEM blocks if their body, without escaped line
+breaks and header lines, is such a key, or a header says that it is encrypted.
+Base64 and hex wrapped over lines are joined before they are decoded: lines of
+one length and a shorter last one, or lines that a DER length ends exactly.
 """
 
 from __future__ import annotations
@@ -16,7 +19,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +39,14 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(.*?)-----END \1-----
 #: Runs that may encode a secret, from the shortest text that a base pattern matches: "token=" and six characters, 12 bytes.
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _HEX_RUN = re.compile(r"(?:[0-9a-fA-F]{2}){12,}\Z")
+_BREAK = r"[ \t]*(?:\r\n?|\n|\\+r\\+n|\\+n)[ \t]*"
+_CHAR = "[A-Za-z0-9+/_-]"
+#: Lines of base64 or hex; "n" of an escaped line break is no part of the first, and a PEM rule no line.
+_LINES = re.compile(rf"(?:(?<!{_CHAR})(?<!\\)|(?<=\\n)){_CHAR}{{4,}}+(?:{_BREAK}(?!-{{5}}){_CHAR}++)+={{0,2}}")
+_LINE = re.compile(rf"(?:{_BREAK})?({_CHAR}+=*)")
+_ESCAPED = re.compile(r"(?<!\\)\\+[rnt]")
+_SHIELDED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED")
+_HEADER = re.compile(r"Proc-Type:\s*4,\s*[A-Z-]+|DEK-Info:\s*[A-Z0-9-]+(?:,[0-9A-Fa-f]+)?|^[ \t]*[A-Za-z][A-Za-z0-9-]*:.*$", re.M)
 Span = tuple[str, int, int]
 SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
 
@@ -121,30 +134,67 @@ def confirmed_spans(text: str) -> list[Span]:
                 out.append(("jwt", *m.span()))
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            data = unbase64("".join(m[2].split()))
-            if data and (is_key(data) or "ENCRYPTED" in m[1] and der(data, 0, len(data))):
+            body = _ESCAPED.sub("\n", m[2]).replace("\\/", "/")
+            data = unbase64("".join(_HEADER.sub("", body).split()))
+            if data and (is_key(data) or "ENCRYPTED" in m[1] and der(data, 0, len(data)) or _SHIELDED.search(body)):
                 out.append(("pem", *m.span()))
+    for m in _LINES.finditer(text):
+        if not any(a < m.end() and m.start() < b for _, a, b in out):
+            out += _wrapped(text, *m.span())
     for m in _RUN.finditer(text):
         if any(a <= m.start() < b for _, a, b in out):
             continue
-        run, data = m[0], None
-        if _HEX_RUN.match(run):
-            data = bytes.fromhex(run)
-            kind = _kind(data)
-            if kind is None:
-                data = unbase64(run)
-        else:
-            data = unbase64(run)
-        if data and (kind := _kind(data)):
+        if kind := _run_kind(m[0]):
             out.append((kind, *m.span()))
     return out
 
 
+def _run_kind(run: str) -> str | None:
+    kind = _kind(bytes.fromhex(run)) if _HEX_RUN.match(run) else None
+    if kind is None and (data := unbase64(run)):
+        kind = _kind(data)
+    return kind
+
+
+def _wrapped(text: str, start: int, end: int) -> list[Span]:
+    """Spans over several of the lines in text[start:end] that joining them confirms."""
+    out: list[Span] = []
+    lines = [m.span(1) for m in _LINE.finditer(text, start, end)]
+    joined = "".join(text[a:b] for a, b in lines)
+    if len(joined) < 16:
+        return out
+    ends = list(accumulate(b - a for a, b in lines))
+    i = 0
+    while i < len(lines):
+        at, width = ends[i] - (lines[i][1] - lines[i][0]), lines[i][1] - lines[i][0]
+        j = i + 1
+        while j < len(lines) and lines[j][1] - lines[j][0] == width:
+            j += 1
+        tries = [j + 1] if j < len(lines) and lines[j][1] - lines[j][0] < width else []
+        tries += [j] if j > i + 1 else []
+        head = unbase64(joined[at : at + 8]) if joined[at] == "M" else None
+        if head and len(head) == 6 and head[0] == 0x30:
+            n = head[1] & 0x7F if head[1] & 0x80 else 0
+            size = 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+            for chars in {-(-size * 8 // 6), -(-size // 3) * 4} if n <= 4 else ():
+                k = bisect_left(ends, at + chars)
+                if k < len(ends) and ends[k] == at + chars and k > i:
+                    tries.append(k + 1)
+        for k in tries:
+            if kind := _run_kind(joined[at : ends[k - 1]]):
+                out.append((kind, lines[i][0], lines[k - 1][1]))
+                i = k
+                break
+        else:
+            i = j
+    return out
+
+
 def _kind(data: bytes) -> str | None:
     if is_key(data):
         return "key"
     try:
-        inner = data.decode("ascii")
+        inner = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
     return "encoded" if any(k != "hex" for k, _, _ in base_spans(inner)) or _PEM.search(inner) else None

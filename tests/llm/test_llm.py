@@ -325,6 +325,33 @@ def test_short_encoded_secrets():
     assert secrets.spans("see " + base64.b64encode(b"tokens abcdefghi").decode() + " internationalization")[1] == []
 
 
+def test_secrets_escaped_wrapped_and_accented():
+    key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes(range(1, 60))) for _ in range(8)))
+    b64 = base64.b64encode(key).decode()
+    lines = [b64[i : i + 64] for i in range(0, len(b64), 64)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    sealed = base64.b64encode(bytes(range(100, 196))).decode()
+    note = base64.b64encode("Schlüssel für später: password=hunter2hunter2, und noch mehr Text danach".encode()).decode()
+    for text, kind in (
+        ("\\n".join([begin, *lines, end]), "pem"),
+        ("\\r\\n".join([begin, *lines, end]), "pem"),
+        ("\n".join([begin, "Comment: my key", "", *lines, end]), "pem"),
+        ("\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", "", sealed, end]), "pem"),
+        ("\n".join(lines), "key"),
+        ("\r\n  ".join(lines), "key"),
+        ("\\n".join(lines), "key"),
+        (b64[:40] + "\n" + b64[40:150] + "\n" + b64[150:], "key"),
+        ("\n".join(key.hex()[i : i + 60] for i in range(0, 2 * len(key), 60)), "key"),
+        (note, "encoded"),
+        ("\n".join(note[i : i + 38] for i in range(0, len(note), 38)), "encoded"),
+    ):
+        for after in (" here", "\nthen more"):
+            assert (kind, 4, 4 + len(text)) in secrets.spans(f"see {text}{after}")[1], (text, after)
+    assert ("key", 8, 8 + len("\n".join(lines))) in secrets.spans("follows\n" + "\n".join(lines) + "\n")[1]
+    cut = "\n".join([*lines[:-1], lines[-1][:-8]])
+    assert secrets.spans(cut)[1] == [] and secrets.spans("\n".join([begin, "Comment: x", *cut.split("\n"), end]))[1] == []
+
+
 def test_queries_and_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()] == list(range(1, 11))
