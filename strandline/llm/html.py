@@ -27,6 +27,7 @@ SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 RAW = "script style noscript template svg math canvas iframe object audio video textarea select button title head".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
+HEAD = frozenset("html head meta link base".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog header search fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_NAMES = frozenset(
@@ -75,7 +76,9 @@ def blocks(html: str) -> list[Block]:
     in_head = False
 
     def say(text: str) -> None:
-        nonlocal now
+        nonlocal now, in_head
+        # Text of its own ends the head, as in browsers; that of a title or script is no text here.
+        in_head = in_head and (not text or text.isspace())
         if in_head or not text:
             return
         if now is None:
@@ -95,6 +98,9 @@ def blocks(html: str) -> list[Block]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        # So does the first tag that can't stand in it; elements of RAW are taken whole above.
+        if in_head and (tag not in HEAD if not m["end"] else tag in ("body", "html", "br")):
+            in_head = False
         if tag == "br":
             if now is not None:
                 now.parts.append(" ")
@@ -102,8 +108,6 @@ def blocks(html: str) -> list[Block]:
         if tag == "head":
             in_head = not m["end"]
             continue
-        if tag == "body":
-            in_head = False
         block = tag in BLOCK
         if block:
             now = None

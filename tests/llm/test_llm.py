@@ -188,6 +188,13 @@ def test_html():
     assert html.main_text(None) == "" and html.main_text("<p") == "" and html.main_text("<script>x") == ""
 
 
+def test_head_without_end():
+    say = "A paragraph of a page, and it is long enough to be kept whole."
+    head = "<html><head><meta charset=utf-8><title>x</title><link rel=a href=b><style>p {}</style><noscript><p>no</p></noscript>\n"
+    for rest in (f"<article><p>{say}", f"<p>{say}</p></html>", f"{say}<p>", f"</head><p>{say}", f"<body><p>{say}</body>", f"<base href=c><script>1</script><p>{say}"):
+        assert html.main_text(head + rest) == say, rest
+
+
 def test_minimum_cut():
     rng = random.Random(5)
     for _ in range(60):
