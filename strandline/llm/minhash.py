@@ -30,11 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._util import BROADCAST_ROWS, durable, matching, text_or_empty
+from ._util import BROADCAST_ROWS, durable, free_name, text_or_empty
 from ._words import blocks, mix, shingles
 
 WORDS = 5
@@ -191,9 +191,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return x.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def _text() -> Column:
+    """The text as it is compared: '' where it is null or blank."""
+    return F.when(text_or_empty().rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.lit(""))
+
+
 def links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """((doc_id, c) of all rows, (c, label) of the texts that have near copies). c is the MD5 of the text."""
-    docs = docs.select("doc_id", F.when(text_or_empty().rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise(F.lit("")).alias("text"))
+    docs = docs.select("doc_id", _text().alias("text"))
     docs = docs.withColumn("c", F.unhex(F.md5("text")))
     sketches = docs.select("c", "text").where("text <> ''").mapInArrow(_sketch, "c binary, n int, bands array<bigint>")
     sketches = durable(sketches.groupBy("c").agg(F.first("n").alias("n"), F.first("bands").alias("bands")))
@@ -226,6 +231,15 @@ def links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, Da
     return docs.select("doc_id", "c"), labels
 
 
+def _classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, c) of all rows, (c, least doc_id, rows, label of the class) of all texts)."""
+    ids, labels = links(docs, threshold)
+    ids = durable(ids)
+    texts = ids.groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    classed = durable(texts.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")))
+    return ids, classed
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), class_size (rows), n_texts (different ones).
 
@@ -233,10 +247,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     fewer than five words are one shingle.  Repeated rows are copies of each
     other.  A null doc_id is kept; a class of none but those has a null id.
     """
-    ids, labels = links(docs, threshold)
-    ids = durable(ids)
-    texts = ids.groupBy("c").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    classed = durable(texts.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c")))
+    ids, classed = _classed(docs, threshold)
     classes = classed.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("n_texts"))
     by_text = durable(classed.select("c", "label").join(classes, "label").select("c", "class_id", "class_size", "n_texts"))
     return ids.join(by_text, "c").select("doc_id", "class_id", "class_size", "n_texts")
@@ -245,11 +256,22 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 def keep_first(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, with its columns, without all but one of each class: that of the least doc_id.
 
-    Of several rows with that id one stays.  Rows of a class without any id are all dropped.
+    Rows are told apart by doc_id and text: different texts with one id are
+    decided each on its own, and of rows with both alike one stays.  Rows of a
+    class without any id are all dropped.
     """
-    first = near_duplicates(docs, threshold).where("doc_id = class_id")
-    first = durable(first.groupBy("doc_id").agg(F.count("*").alias("n")))
-    kept, again = matching(docs, first.select("doc_id")), first.where("n > 1").select("doc_id")
+    ids, classed = _classed(docs, threshold)
+    first = classed.where("least is not null").groupBy("label").agg(F.min(F.struct("least", "c")).alias("f"))
+    first = durable(first.select(F.col("f.least").alias("doc_id"), F.col("f.c").alias("c")))
+    again = durable(ids.join(first, ["doc_id", "c"]).groupBy("doc_id", "c").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "c"))
+    id_, key, c = (free_name(docs, n) for n in ("_first", "_key", "_c"))
+    first, again = first.toDF(id_, key), again.toDF(id_, key)
+    keyed = docs.withColumn(c, F.unhex(F.md5(_text())))
+
+    def of(rows: DataFrame, those: DataFrame, how: str = "left_semi") -> DataFrame:
+        return rows.join(those, (rows["doc_id"] == those[id_]) & (rows[c] == those[key]), how)
+
+    kept = of(keyed, first)
     if again.isEmpty():
-        return kept
-    return matching(kept, again, "left_anti").unionByName(matching(kept, again).dropDuplicates(["doc_id"]))
+        return kept.drop(c)
+    return of(kept, again, "left_anti").unionByName(of(kept, again).dropDuplicates(["doc_id", c])).drop(c)

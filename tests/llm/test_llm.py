@@ -70,6 +70,13 @@ def test_near_duplicates(docs, rows, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_first_of_repeated_ids(spark):
+    a, b, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abd")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a + " end"), (3, d), (1, d + " end"), (4, b), (1, a), (None, b), (5, None), (5, " ")], "doc_id bigint, text string")
+    got = minhash.keep_first(docs).collect()
+    assert sorted((r.doc_id, (r.text or "").strip()) for r in got) == [(1, a), (1, b), (1, d + " end"), (5, "")]
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(1)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
