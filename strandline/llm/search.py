@@ -53,7 +53,7 @@ GROUPS, GROUP_TERMS, GROUP_STEPS = 16, 128, 4
 SHARD_DOCS, SHARD_TOKENS = 16_384, 4_000_000
 QUERY_TOKENS = 4_000_000
 #: Distinct words of the queries that a shard answers at once, and queries at most.
-CHUNK_WORDS, CHUNK_QUERIES = 50_000, 128
+CHUNK_WORDS, CHUNK_QUERIES = 10_000, 32
 DIGITS = 9
 #: Bounds are added up in single precision, so they may fall short of a sum of DENSE terms by this share, and of a rounded score by 1e-6.
 SHARE, SLACK = 1e-4, 1e-6
@@ -143,10 +143,7 @@ class Shard:
     def __init__(self, data: bytes, mean: float):
         x = pickle.loads(data)
         self.ids, self.null, self.term, self.n = x["ids"], x["null"], x["term"], len(x["ids"])
-        start, doc = x["start"], x["doc"].astype(np.int64)
-        norm = K1 * (1 - B + B * x["size"] / max(mean, 1e-9))
-        times = x["times"].astype(float)
-        part = times * (K1 + 1) / (times + norm[doc])
+        start, doc, times, self.norm = x["start"], x["doc"], x["times"], K1 * (1 - B + B * x["size"] / max(mean, 1e-9))
         self.blocks = -(-self.n // BLOCK)
         df = np.diff(start)
         often = np.flatnonzero(df * SPARSE >= self.n)
@@ -154,16 +151,19 @@ class Shard:
         self.row = np.full(len(df), -1, np.int32)
         self.row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
-        self.times, self.norm = np.zeros((self.n, len(often)), x["times"].dtype), norm
+        self.times = np.zeros((self.n, len(often)), times.dtype)
         for i, t in enumerate(often):
             own = slice(start[t], start[t + 1])
-            self.dense[i, doc[own]] = part[own]
-            self.times[doc[own], i] = x["times"][own]
+            self.dense[i, doc[own]] = self.part_of(times[own], doc[own])
+            self.times[doc[own], i] = times[own]
         self.peak = self.dense.reshape(len(often), self.blocks, BLOCK).max(axis=2)
         # Entries: the postings of one term in one block.
         rare = np.repeat(self.row < 0, df)
-        kind, doc, self.part = np.repeat(np.arange(len(df)), df)[rare], doc[rare], part[rare]
-        self.slot, block = (doc % BLOCK).astype(np.int64), doc // BLOCK
+        kind, doc = np.repeat(np.arange(len(df), dtype=np.int32), df)[rare], doc[rare]
+        self.part = self.part_of(times[rare], doc)
+        del x, times, rare
+        block = (doc // BLOCK).astype(np.int32)
+        self.slot = (doc % BLOCK).astype(np.uint8 if BLOCK <= 256 else np.int32)
         new = np.ones(len(kind), bool)
         new[1:] = (kind[1:] != kind[:-1]) | (block[1:] != block[:-1])
         self.first = np.flatnonzero(new)
@@ -173,6 +173,11 @@ class Shard:
         self.entry = np.searchsorted(kind[self.first], np.arange(len(df) + 1))
         self.seen = self.skipped = 0
 
+    def part_of(self, times: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        part = times.astype(float)
+        part *= (K1 + 1) / (part + self.norm[doc])
+        return part
+
     def find(self, term: np.ndarray) -> np.ndarray:
         """Places of terms, -1 for those not in the shard."""
         if not len(self.term):
@@ -254,9 +259,8 @@ class Shard:
         floor = np.where(full, low(low(about[order[last]])), 0.0) if len(order) else np.zeros(n)
         near = about >= floor[query]
         i, slot, query, doc = i[near], slot[near], query[near], doc[near]
-        times = self.times[doc].astype(float)
-        times *= (K1 + 1) / (times + self.norm[doc, None])
-        score = np.round(score[i, slot] + np.einsum("ij,ij->i", times, exact[query]), DIGITS)
+        part = self.part_of(self.times[doc], doc[:, None])
+        score = np.round(score[i, slot] + np.einsum("ij,ij->i", part, exact[query]), DIGITS)
         order = np.lexsort((self.ids[doc], self.null[doc], -score, query))
         query, doc, score = query[order], doc[order], score[order]
         top = np.arange(len(query)) - np.searchsorted(query, query) < k
@@ -349,8 +353,8 @@ def top_k(docs: DataFrame, query: Column | None = None, k: int = TOP, query_toke
         def frequencies(batches: Iterator[pa.RecordBatch], wanted: object = wanted) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(wanted.value), np.int64)
             for batch in batches:
-                for data in batch.column(0).to_pylist():
-                    x = pickle.loads(data)
+                for data in batch.column(0):
+                    x = pickle.loads(data.as_buffer())
                     at = np.minimum(np.searchsorted(x["term"], wanted.value), max(len(x["term"]) - 1, 0))
                     if len(x["term"]):
                         total += np.where(x["term"][at] == wanted.value, np.diff(x["start"])[at], 0)
@@ -367,8 +371,8 @@ def top_k(docs: DataFrame, query: Column | None = None, k: int = TOP, query_toke
             q = block.value
             floor = least.value if least else np.zeros(len(q.ids))
             for batch in batches:
-                for data in batch.column(0).to_pylist():
-                    shard = Shard(data, mean)
+                for data in batch.column(0):
+                    shard = Shard(data.as_buffer(), mean)
                     for n, doc, score in shard.search(q, k, floor):
                         yield pa.RecordBatch.from_arrays([pa.array(q.ids[n], pa.int64()), pa.array(shard.ids[doc], pa.int64(), mask=shard.null[doc]), pa.array(score, pa.float64())], ["query_id", "doc_id", "score"])
 
