@@ -244,8 +244,12 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     """One row per row of ``docs``: doc_id, class_id (least doc_id of its class), class_size (rows), n_texts (different ones).
 
     Null, empty and blank texts count as '' and are one class.  Texts of
-    fewer than five words are one shingle.  Repeated rows are copies of each
-    other.  A null doc_id is kept; a class of none but those has a null id.
+    fewer than five words are one shingle; very long ones are read whole.
+    Repeated rows are copies of each other.  A null doc_id is kept; a class
+    of none but those has a null id.  Texts that share an id are told apart,
+    so two classes can have the same class_id.  Ties (equal ids) make no
+    difference here.  An empty table gives no rows; columns other than doc_id
+    and text are not read, whatever their names.
     """
     ids, classed = _classed(docs, threshold)
     classes = classed.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.count("*").alias("n_texts"))
@@ -254,22 +258,23 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 
 
 def keep_first(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, with its columns, without all but one of each class: that of the least doc_id.
+    """The rows of ``docs``, with its columns, without all but one of each class: that of the least doc_id, rows without id last.
 
-    Rows are told apart by doc_id and text: different texts with one id are
-    decided each on its own, and of rows with both alike one stays.  Rows of a
-    class without any id are all dropped.
+    Cases are as in ``near_duplicates``.  Rows are told apart by doc_id and
+    text: different texts with one id are decided each on its own, and of the
+    rows of a class with the least id one stays, that of the least text hash.
     """
     ids, classed = _classed(docs, threshold)
-    first = classed.where("least is not null").groupBy("label").agg(F.min(F.struct("least", "c")).alias("f"))
+    first = classed.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "c")).alias("f"))
     first = durable(first.select(F.col("f.least").alias("doc_id"), F.col("f.c").alias("c")))
-    again = durable(ids.join(first, ["doc_id", "c"]).groupBy("doc_id", "c").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "c"))
+    one = ids["doc_id"].eqNullSafe(first["doc_id"]) & (ids["c"] == first["c"])
+    again = durable(ids.join(first, one, "left_semi").groupBy("doc_id", "c").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "c"))
     id_, key, c = (free_name(docs, n) for n in ("_first", "_key", "_c"))
     first, again = first.toDF(id_, key), again.toDF(id_, key)
     keyed = docs.withColumn(c, F.unhex(F.md5(_text())))
 
     def of(rows: DataFrame, those: DataFrame, how: str = "left_semi") -> DataFrame:
-        return rows.join(those, (rows["doc_id"] == those[id_]) & (rows[c] == those[key]), how)
+        return rows.join(those, rows["doc_id"].eqNullSafe(those[id_]) & (rows[c] == those[key]), how)
 
     kept = of(keyed, first)
     if again.isEmpty():

@@ -23,6 +23,8 @@ KEY_BITS = 40
 SALT_BITS = 20
 BITS = KEY_BITS + SALT_BITS
 SHARD_BYTES = 64 * 1024 * 1024
+#: Shards up to which the directory (three numbers a row) is sent to every task.
+DIRECTORY_ROWS = 1_000_000
 
 
 def _hash(key: Column, place: Column) -> Column:
@@ -90,15 +92,25 @@ def assign_shards(df: DataFrame, key: str = "doc_id", size: Column | None = None
     if depth is None:
         return rows.select(*[c for c in rows.columns if c != h], F.lit("").alias(names.get("shard", "shard")), F.lit(0).alias(names.get("shard_depth", "shard_depth")), F.lit(0).cast("bigint").alias(names.get("shard_bytes", "shard_bytes")))
     depths = [r[0] for r in shards.select("depth").distinct().orderBy("depth").collect()]
-    level, prefix = free_name(df, "shard_level"), free_name(df, "shard_prefix")
-    found = shards.select(F.col("depth").alias(level), F.col("prefix").alias(prefix), F.col("shard_bytes").alias(names.get("shard_bytes", "shard_bytes")))
-    found = small_or_shuffled(durable(found))
-    if len(depths) == 1:
-        probe = rows.withColumn(level, F.lit(depths[0]))
-    else:
-        probe = rows.withColumn(level, F.explode(F.array(*[F.lit(d) for d in depths])))
-    probe = probe.withColumn(prefix, F.expr(f"shiftright(`{h}`, {BITS} - `{level}`)"))
-    bits = F.when(F.col(level) == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col(prefix).cast("string"), 10, 2), F.col(level), F.lit("0")))
-    out = probe.join(found, [level, prefix]).withColumn(names.get("shard", "shard"), bits).withColumnRenamed(level, names.get("shard_depth", "shard_depth"))
+    shards = durable(shards.select("depth", "prefix", "shard_bytes"))
     first = [c for c in rows.columns if c != h]
-    return out.select(*first, names.get("shard", "shard"), names.get("shard_depth", "shard_depth"), names.get("shard_bytes", "shard_bytes"))
+    shard, shard_depth, shard_bytes = (names.get(n, n) for n in ("shard", "shard_depth", "shard_bytes"))
+    if shards.count() <= DIRECTORY_ROWS:
+        # One look-up for each local depth; exactly one of them finds the row's bucket.
+        depth_of, bytes_of, out = [], [], rows
+        for d in depths:
+            key_, held = free_name(out, f"_key{d}"), free_name(out, f"_held{d}")
+            own = F.broadcast(shards.where(F.col("depth") == d).select(F.col("prefix").alias(key_), F.col("shard_bytes").alias(held)))
+            out = out.join(own, F.shiftright(F.col(h), BITS - d) == F.col(key_), "left")
+            depth_of.append(F.when(F.col(held).isNotNull(), F.lit(d)))
+            bytes_of.append(F.col(held))
+        out = out.select(*first, h, F.coalesce(*depth_of).alias(shard_depth), F.coalesce(*bytes_of).alias(shard_bytes))
+    else:
+        level, prefix = free_name(rows, "shard_level"), free_name(rows, "shard_prefix")
+        found = shards.select(F.col("depth").alias(level), F.col("prefix").alias(prefix), F.col("shard_bytes").alias(shard_bytes))
+        # Hashes, not whole rows, are looked up at every depth.
+        probe = rows.select(h).distinct().withColumn(level, F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn(prefix, F.expr(f"shiftright(`{h}`, {BITS} - `{level}`)"))
+        out = rows.join(probe.join(found, [level, prefix]), h).select(*first, h, F.col(level).alias(shard_depth), shard_bytes)
+    start = F.expr(f"shiftright(`{h}`, {BITS} - `{shard_depth}`)")
+    bits = F.when(F.col(shard_depth) == 0, F.lit("")).otherwise(F.lpad(F.conv(start.cast("string"), 10, 2), F.col(shard_depth), F.lit("0")))
+    return out.withColumn(shard, bits).select(*first, shard, shard_depth, shard_bytes)
