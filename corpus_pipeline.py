@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import minhash, mixing, quality, sharding, tiling
-from strandline.llm._util import shared_folder, table
+from strandline.llm._util import remove, shared_folder, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(docs)
+    return sharding.assign_shards(docs, keep=True)
 
 
 STAGES = [
@@ -47,10 +47,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, with their tables in the shared folder."""
+    """All stages over the documents of ``sf_dir``: the documents that are left, with their shards.
+
+    Stages' tables are in the shared folder, each until the next one is
+    written; the last stage holds its input in checkpoints of its own.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if last:
+            remove(spark, f"{folder}/{last}")
+        last = name
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)
+    return out
