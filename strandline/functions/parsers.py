@@ -8,11 +8,12 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from strandline.functions import text as T
 
@@ -29,13 +30,18 @@ OPERATIONS = (
     (r"head|sample", "sample_rows"),
 )
 TABLE_SUFFIXES = (".csv", ".tsv", ".json", ".jsonl", ".parquet")
-FENCE = r"```(?:json|python)?\s*(.*?)```"
+FENCE = r"```(?:json)?\s*(.*?)```"
 MAX_DEPTH, MAX_ITEMS = 4, 20
 COLUMN_LIST = r"(?i)\b(?:columns?|schema|fields?)\b[^\n:]{0,12}[:= ]\s*(\[[^\]]{1,500}\])"
 QUOTED = r"""["']([^"']{1,200})["']"""
 
 # Types as objects: a DDL string could only be read with a session, and this module is imported before there is one.
 STRINGS = ArrayType(StringType())
+SPECIAL = re.compile(r"<(/?)(" + "|".join(sorted({*T.CORE_TAGS, *T.TOOL_TAGS, *T.ALIASES}, key=len, reverse=True)) + r")>", re.I)
+BLOCKS = StructType([StructField("blocks", ArrayType(StructType([StructField("tag", StringType()), StructField("content", StringType())]))), StructField("faults", STRINGS)])
+SIGNATURES = StructType([StructField("strict", StringType()), StructField("loose", StringType())])
+ACTION = StructType([StructField("thought", StringType()), StructField("tool_name", StringType()), StructField("code", StringType()), StructField("parameters", StringType())])
+CANDIDATES = ArrayType(StructType([StructField("action_type", StringType()), StructField("text", StringType()), StructField("score", DoubleType())]))
 ACCESS = StructType([StructField("operations", STRINGS), StructField("literals", STRINGS)])
 FACT = StructType([StructField(n, StringType()) for n in ("kind", "label", "value")])
 
@@ -197,3 +203,150 @@ def facts(text: Column) -> Column:
     x = F.coalesce(text, F.lit(""))
     counts = F.transform(T.count_facts(x), lambda c: F.struct(F.lit("count").alias("kind"), c["label"].alias("label"), c["value"].cast("string").alias("value")))
     return F.array_distinct(F.concat(made("path", T.path_tokens(x)), made("extension", T.extension_tokens(x)), counts, made("column", column_tokens(x)), structured_facts(x)))
+
+
+def strict_blocks(text: str | None) -> tuple[list[tuple[str, str]], list[str]]:
+    """(top-level blocks, faults) of tagged text in which tags nest and every closer ends the innermost open one.
+
+    Within an answer only its closer counts.  Faults name text outside of
+    blocks, closers without opener or of another tag, and tags left open.
+    """
+    text = text or ""
+    blocks, faults, open_ = [], [], []
+    body = end = 0
+    for m in SPECIAL.finditer(text):
+        tag = m[2].lower()
+        tag, closer = T.ALIASES.get(tag, tag), m[1] == "/"
+        if open_[-1:] == ["answer"] and (tag, closer) != ("answer", True):
+            continue
+        if closer and not open_:
+            faults.append(f"stray_closer:{tag}")
+            end = m.end()
+        elif closer:
+            top = open_.pop()
+            if top != tag:
+                faults.append(f"mismatch:{top}:{tag}")
+            if not open_:
+                blocks.append((top, text[body : m.start()]))
+                end = m.end()
+        else:
+            if not open_:
+                body = m.end()
+                if not text[end : m.start()].isspace() and end < m.start():
+                    faults.append("outside_text")
+            open_.append(tag)
+    if open_:
+        faults.append("unclosed:" + ",".join(open_))
+    if text[end:].strip():
+        faults.append("trailing_text")
+    return blocks, list(dict.fromkeys(faults))
+
+
+@F.pandas_udf(BLOCKS)
+def parse_strict(s: pd.Series) -> pd.DataFrame:
+    """struct<blocks: array<struct<tag, content>>, faults: array<string>> of ``strict_blocks``."""
+    found = [strict_blocks(x) for x in s]
+    return pd.DataFrame({"blocks": [[{"tag": t, "content": c} for t, c in b] for b, _ in found], "faults": [f for _, f in found]})
+
+
+def signatures_of(tag: str | None, body: str | None) -> tuple[str, str]:
+    """Signatures by which tool calls are the same, and nearly the same."""
+    whole, line = html.unescape(unicodedata.normalize("NFKC", body or "")).strip(), plain(body)
+    if tag in T.SEARCH_TAGS:
+        strict = " ".join(whole.split()).casefold()
+    else:
+        strict = "\n".join(re.sub(r"[ \t]+", " ", x.strip()) for x in whole.splitlines() if x.strip())
+    if tag == "python":
+        loose = " ".join(re.sub(r"\b[0-9]+(?:\.[0-9]+)?\b", "__NUM__", re.sub(r"([\"']).*?\1", "__STR__", line)).split())
+    else:
+        loose = line.casefold()
+    return f"{tag}:{strict}", f"{tag}:{loose[:4000]}"
+
+
+@F.pandas_udf(SIGNATURES)
+def signatures(tag: pd.Series, body: pd.Series) -> pd.DataFrame:
+    """struct<strict, loose> of tool calls."""
+    return pd.DataFrame([signatures_of(t, b) for t, b in zip(tag, body, strict=True)], columns=["strict", "loose"])
+
+
+def action_object(text: str | None) -> dict | None:
+    """The first JSON object of an action, in a fence or not, trailing commas forgiven; None if it doesn't read as one."""
+    text = (text or "").strip()
+    if fence := re.search(FENCE, text, re.S):
+        text = fence[1].strip()
+    raw = balanced(text, "{") or text[max(text.find("{"), 0) :]
+    for attempt in (raw, re.sub(r",\s*([}\]])", r"\1", raw)):
+        try:
+            value = json.loads(attempt)
+        except ValueError:
+            continue
+        if isinstance(value, dict):
+            return value
+    return None
+
+
+def _text(value: object) -> str:
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value)
+
+
+@F.pandas_udf(ACTION)
+def react_action(s: pd.Series) -> pd.DataFrame:
+    """struct<thought, tool_name, code, parameters> of a reply in the form "Thought: ... Action: {...}"; the last three are null without a valid action."""
+
+    def one(text: str | None) -> tuple:
+        thought = re.search(r"Thought:\s*(.*?)(?=\nAction:|\Z)", text or "", re.S)
+        action = re.search(r"Action:\s*(.*)", text or "", re.S)
+        found = action_object(action[1]) if action else None
+        said = thought[1].strip() if thought else ""
+        return (said, None, None, None) if found is None else (said, _text(found.get("tool_name", "")), _text(found.get("code", "")), None)
+
+    return pd.DataFrame([one(x) for x in s], columns=["thought", "tool_name", "code", "parameters"])
+
+
+@F.pandas_udf(ACTION)
+def xml_action(s: pd.Series) -> pd.DataFrame:
+    """struct<thought, tool_name, code, parameters> of a reply in XML, in a <response> or not; parameters is JSON, {} where it doesn't read. An ill-formed response is an error."""
+
+    def one(text: str | None) -> tuple:
+        text = text or ""
+        response = re.search(r"<response\b[^>]*>.*?</response>", text, re.S)
+        if response:
+            root = ElementTree.fromstring(response[0])
+            inner = root.find("action")
+            get = lambda node, *names: next((v.strip() for n in names if (v := node.findtext(n))), "")
+            holder = root if inner is None else inner
+            thought, tool, params = get(root, "thought", "intent"), get(holder, "tool_name"), get(holder, "parameters")
+        else:
+            find = lambda *names: next((m[1].strip() for n in names if (m := re.search(rf"<{n}\b[^>]*>(.*?)</{n}>", text, re.S)) and m[1].strip()), "")
+            thought, tool, params = find("thought", "intent"), find("tool_name"), find("parameters")
+        try:
+            params = json.dumps(json.loads(params)) if params else "{}"
+        except ValueError:
+            params = "{}"
+        return thought, tool, None, params
+
+    return pd.DataFrame([one(x) for x in s], columns=["thought", "tool_name", "code", "parameters"])
+
+
+def candidates(text: Column, types: tuple[str, ...], field: str, score: str, most: int) -> Column:
+    """array<struct<action_type, text, score>>: up to ``most`` objects of the first JSON array of a reply that have a non-blank ``field``; a type that isn't allowed becomes the first one, a score is within 0 and 1."""
+
+    @F.pandas_udf(CANDIDATES)
+    def run(s: pd.Series) -> pd.Series:
+        def one(reply: str | None) -> list[dict]:
+            rows = lenient(balanced(re.sub(r"(?s)<think>.*?</think>", "", reply or ""), "["))
+            out = []
+            for x in rows if isinstance(rows, list) else ():
+                body = _text(x.get(field)).strip() if isinstance(x, dict) else ""
+                if body and len(out) < most:
+                    kind = _text(x.get("action_type")).strip()
+                    try:
+                        value = float(x.get(score, 0.0))
+                    except (TypeError, ValueError):
+                        value = 0.0
+                    out.append({"action_type": kind if kind in types or not types else types[0], "text": body, "score": min(max(value, 0.0), 1.0)})
+            return out
+
+        return s.map(one)
+
+    return run(text)

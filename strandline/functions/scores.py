@@ -83,13 +83,20 @@ def uct(visits: Column, parent_visits: Column, q: Column, prior: Column, depth:
 
 
 def prior_entropy(priors: Column, temperature: float = 0.3) -> Column:
-    """Entropy of the softmax of priors over the temperature, as a share of its maximum."""
+    """Entropy of the softmax of priors over the temperature, as a share of its maximum.
+
+    One pass: with e = exp((p - top) / T) it is ln(sum e) - sum(e (p - top) / T) / sum e.
+    """
     if temperature <= 0:
         return F.lit(0.0)
     top = F.array_max(priors)
-    e = F.transform(priors, lambda p: F.exp((p - top) / temperature))
-    total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-    h = F.aggregate(e, F.lit(0.0), lambda a, x: a - (x / total) * F.log(x / total + 1e-12))
+
+    def add(acc: Column, p: Column) -> Column:
+        z = (p - acc["top"]) / temperature
+        return F.struct((acc["e"] + F.exp(z)).alias("e"), (acc["ez"] + F.exp(z) * z).alias("ez"), acc["top"].alias("top"))
+
+    start = F.struct(F.lit(0.0).alias("e"), F.lit(0.0).alias("ez"), top.cast("double").alias("top"))
+    h = F.aggregate(priors, start, add, lambda a: F.log(a["e"]) - a["ez"] / a["e"])
     return F.when(F.size(priors) <= 1, F.lit(0.0)).otherwise(clamp(h / F.log(F.size(priors).cast("double")), 0, 1))
 
 
@@ -132,12 +139,6 @@ def path_score(length: Column, avg_obs: Column, low: Column, high: Column, tools
     return 40.0 * F.least(length / 20.0, F.lit(1.0)) + 30.0 * (avg_obs - low) / span + 30.0 * tools / F.greatest(all_tools, F.lit(1)) + 25.0 * F.greatest(leaf_q, F.lit(0.0))
 
 
-def rank_at(n: int, share: float = 0.8) -> int:
-    return round(share * (n - 1))
-
-
-
-
 #: Weights of claims by kind, those that are critical, and the words of a section.
 CLAIM_WEIGHTS = {"path": 1.0, "extension": 0.7, "count": 1.4, "column": 1.1}
 CRITICAL = ("path", "count", "column")
@@ -212,3 +213,20 @@ def warnings(manifest: Column, steps: Column, errors: Column, duplicates: Column
         "answer_evidence_conflict": contradicted > 0, "underexplored_dataset": cover < 50,
     }
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+
+
+def warnings_v1(valid: Column, answered: Column, calls: Column, threshold: Column, duplicates: Column) -> Column:
+    """Names of what is doubtful about a trajectory by the format-centred rules."""
+    rules = {"format_invalid": ~valid, "empty_answer": ~answered, "tool_frequency_exceeded": calls > threshold, "duplicate_tool_calls": duplicates > 0}
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))
+
+
+def parts_v1(errors: Column, results: Column, succeeded: Column, answered: Column, over: Column, duplicates: Column, thinks: Column, said: Column) -> dict[str, Column]:
+    """The five parts of the format-centred score."""
+    return {
+        "format": F.greatest(F.lit(0.0), 100.0 - 20.0 * errors),
+        "execution": F.when(results == 0, F.lit(50.0)).otherwise(100.0 * succeeded / results),
+        "completion": F.when(answered, F.lit(100.0)).otherwise(F.lit(0.0)),
+        "efficiency": F.greatest(F.lit(0.0), 100.0 - F.least(F.lit(50.0), 10.0 * F.greatest(over, F.lit(0))) - F.least(F.lit(40.0), 15.0 * duplicates)),
+        "coherence": F.when(thinks == 0, F.lit(0.0)).otherwise(100.0 * said / thinks),
+    }

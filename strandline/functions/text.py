@@ -21,11 +21,14 @@ EXTENSION = r"\.[A-Za-z0-9]{1,8}\b"
 COUNT = r"(?i)\b(rows?|nrows?|records?|files?|directories|directory|dirs?|folders?|columns?|fields?)\b[^\n:]{0,24}[:= ]\s*([0-9]+)"
 SHAPE = r"(?i)\bshape\b[^\n:]{0,24}[:= ]\s*\(?\s*([0-9]+)\s*,\s*([0-9]+)\s*\)?"
 COUNT_LABELS = {
-    "rows": "row_count", "row": "row_count", "nrows": "row_count", "records": "row_count", "record": "row_count",
-    "files": "file_count", "file": "file_count",
-    "directories": "dir_count", "directory": "dir_count", "dirs": "dir_count", "dir": "dir_count", "folders": "dir_count", "folder": "dir_count",
-    "columns": "column_count", "column": "column_count", "fields": "column_count", "field": "column_count",
+    "rows": "row_count", "row": "row_count", "nrows": "row_count", "row_count": "row_count", "records": "row_count", "record": "row_count",
+    "files": "file_count", "file": "file_count", "file_count": "file_count",
+    "directories": "dir_count", "directory": "dir_count", "dirs": "dir_count", "dir": "dir_count", "dir_count": "dir_count", "folders": "dir_count", "folder": "dir_count",
+    "columns": "column_count", "column": "column_count", "fields": "column_count", "field": "column_count", "column_count": "column_count",
 }
+TAG = r"</?[A-Za-z_][A-Za-z0-9_-]*>"
+#: Full-width ASCII, by rule, and what it stands for.
+FULL_WIDTH, PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
 UNCERTAIN = r"(?i)\b(uncertain|unsure|unable|not inspected|not available|could not|may contain|likely|appears to)\b"
 
 
@@ -39,10 +42,46 @@ def canonical_tag(tag: Column) -> Column:
 
 
 def rewrite_tags(text: Column) -> Column:
-    """Alias tags under their canonical names."""
-    for alias, name in ALIASES.items():
-        text = F.regexp_replace(text, rf"(?i)<(/?){alias}>", f"<$1{name}>")
-    return text
+    """Every tag in lower case, aliases under their canonical names: the stretches between tags and the tags, put together again."""
+    between, tags = F.split(text, TAG), F.regexp_extract_all(text, F.lit(TAG), 0)
+
+    def canonical(tag: Column) -> Column:
+        name = canonical_tag(F.regexp_extract(tag, r"([A-Za-z_][A-Za-z0-9_-]*)", 1))
+        return F.concat(F.when(F.startswith(tag, F.lit("</")), "</").otherwise("<"), name, F.lit(">"))
+
+    return F.array_join(F.zip_with(between, F.transform(tags, canonical), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def compat(text: Column) -> Column:
+    """Full-width forms as plain ones, no-break spaces as spaces, the five named references decoded: what matters of NFKC in column expressions."""
+    x = F.translate(text, FULL_WIDTH + "\u3000\u00a0", PLAIN + "  ")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = F.replace(x, F.lit(name), F.lit(sign))
+    return x
+
+
+def folded(text: Column) -> Column:
+    """``compat`` in lower case, with sharp s as two letters."""
+    return F.replace(F.lower(compat(text)), F.lit("ß"), F.lit("ss"))
+
+
+def paired_tags(text: Column, tag: str) -> Column:
+    """How many openers of a tag have a closer: the lesser of both numbers."""
+    return F.least(F.regexp_count(text, F.lit(f"<{tag}>")), F.regexp_count(text, F.lit(f"</{tag}>")))
+
+
+def without_results(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?s)<result>.*?</result>", "")
+
+
+def outer_block(text: Column, tag: str) -> Column:
+    """From the first opener of a tag to its last closer, trimmed; null if there is none."""
+    return F.nullif(strip(F.regexp_extract(text, rf"(?s)<{tag}>.*</{tag}>", 0)), F.lit(""))
+
+
+def outer_body(text: Column, tag: str) -> Column:
+    """What ``outer_block`` holds, trimmed; null if there is no such block."""
+    return F.when(outer_block(text, tag).isNotNull(), strip(F.regexp_extract(text, rf"(?s)<{tag}>(.*)</{tag}>", 1)))
 
 
 def strip_tags(text: Column) -> Column:
@@ -75,10 +114,10 @@ def last_boxed(text: Column) -> Column:
 def normal_answer(text: Column) -> Column:
     """The comparable core of an answer: answer body, boxed body, no markup, prefix or end punctuation, lower case."""
     x = F.coalesce(last_boxed(last_answer(text)), last_answer(text))
-    x = F.regexp_replace(strip_tags(x), r"\$", " ")
+    x = F.regexp_replace(strip_tags(compat(x)), r"\$", " ")
     x = F.regexp_replace(x, r"\\(?:boxed|text)\{([^{}]*)\}", "$1")
     x = F.regexp_replace(squeeze(x), r"(?i)^(?:the\s+)?(?:final\s+)?answer\s*(?:is|:)\s*:?\s*", "")
-    return F.lower(F.btrim(squeeze(x), F.lit(".,;:!?\"'` ")))
+    return folded(F.btrim(squeeze(x), F.lit(".,;:!?\"'` ")))
 
 
 def number(text: Column) -> Column:
@@ -125,7 +164,7 @@ def count_facts(text: Column) -> Column:
 
 
 def has_error(text: Column) -> Column:
-    return F.lower(text).rlike("|".join(ERRORS))
+    return folded(text).rlike("|".join(ERRORS))
 
 
 def shorten_separators(text: Column) -> Column:
@@ -144,14 +183,3 @@ def clip(text: Column, most: int) -> Column:
 def truncate_observation(text: Column, most: int = 6000, head: int = 4000, tail: int = 1500) -> Column:
     notice = F.concat(F.lit("\n...[truncated original_length="), F.length(text).cast("string"), F.lit(" dropped="), (F.length(text) - head - tail).cast("string"), F.lit("]...\n"))
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, head), notice, F.right(text, F.lit(tail)))).otherwise(text)
-
-
-def tool_signature(tag: Column, body: Column) -> Column:
-    """Strict signature of a tool call: search-like payloads squeezed and lower-cased, others line by line."""
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(F.btrim(x), r"[ \t]+", " ")), lambda x: x != "")
-    return F.concat(tag, F.lit(":"), F.when(tag.isin(*SEARCH_TAGS), F.lower(squeeze(body))).otherwise(F.array_join(lines, "\n")))
-
-
-def loose_signature(tag: Column, body: Column) -> Column:
-    code = F.regexp_replace(F.regexp_replace(body, r"""(["']).*?\1""", "__STR__"), r"\b[0-9]+(\.[0-9]+)?\b", "__NUM__")
-    return F.concat(tag, F.lit(":"), F.substring(F.when(tag == "python", squeeze(code)).otherwise(F.lower(squeeze(body))), 1, 4000))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.functions import parsers
 from strandline.functions import text as T
 
 TAGS = (*T.CORE_TAGS, *T.TOOL_TAGS)
@@ -15,7 +16,12 @@ BLOCK = rf"(?s)(?:{_ONE})"
 
 def parse(text: Column) -> Column:
     """array<struct<tag, content, closed>>: in a tag only its own closer ends it, an unclosed one takes the rest."""
-    raw = F.regexp_extract_all(T.rewrite_tags(text), F.lit(BLOCK), 0)
+    return parse_rewritten(T.rewrite_tags(text))
+
+
+def parse_rewritten(text: Column) -> Column:
+    """``parse`` of text whose tags are canonical."""
+    raw = F.regexp_extract_all(text, F.lit(BLOCK), 0)
 
     def block(x: Column) -> Column:
         tag = F.regexp_extract(x, r"^<([a-z]+)>", 1)
@@ -35,24 +41,58 @@ def count_tag(blocks: Column, *tags: str) -> Column:
     return F.size(F.filter(blocks, lambda b: b["tag"].isin(*tags)))
 
 
-def format_errors(blocks: Column, rest: Column) -> Column:
-    """Names of the broken rules."""
-    answers, thinks, results, tools = (count_tag(blocks, *t) for t in (("answer",), ("think",), ("result",), T.TOOL_TAGS))
-    last = F.when(F.size(blocks) > 0, F.element_at(blocks, -1)["tag"])
-    first_think = F.array_position(F.transform(blocks, lambda b: b["tag"]), "think")
-    first_tool = F.aggregate(F.transform(blocks, lambda b, i: F.when(b["tag"].isin("result", *T.TOOL_TAGS), i + 1)), F.lit(1 << 30), lambda a, x: F.least(a, F.coalesce(x, F.lit(1 << 30))))
+def broken_rules(blocks: Column, faults: Column) -> Column:
+    """Names of the broken rules, the parser's faults first, each once."""
+    tag = F.transform(blocks, lambda b: b["tag"])
+    core = lambda t: t.isin(*T.CORE_TAGS)
+    answers, thinks, results = (count_tag(blocks, t) for t in ("answer", "think", "result"))
+    tools = F.size(F.filter(tag, lambda t: ~core(t)))
+    thought, answer = F.array_position(tag, "think"), F.array_position(tag, "answer")
+    # What stands before the first thought, or after the first answer; both have positions from 1.
+    after = lambda cond: F.exists(F.transform(tag, lambda t, i: cond(t) & (answer > 0) & (i + 1 > answer)), lambda x: x)
+    before = lambda cond: F.exists(F.transform(tag, lambda t, i: cond(t) & ((thought == 0) | (i + 1 < thought))), lambda x: x)
+    tool = lambda t: ~core(t)
     rules = [
+        (after(lambda t: t == "think"), "think_after_answer"),
+        (before(lambda t: t == "result"), "result_before_think"),
+        (after(lambda t: t == "result"), "result_after_answer"),
+        ((answer > 0) & (answer < F.size(tag)), "answer_not_last"),
+        (before(tool), "tool_before_think"),
+        (after(tool), "tool_after_answer"),
         (F.size(blocks) == 0, "no_blocks"),
         (answers != 1, "answer_count"),
         (thinks == 0, "no_think"),
-        (F.coalesce(last, F.lit("")) != "answer", "last_not_answer"),
+        (F.coalesce(F.try_element_at(tag, F.lit(-1)), F.lit("")) != "answer", "last_not_answer"),
         ((tools > 0) & (tools != results), "tool_result_mismatch"),
         ((tools == 0) & (results > thinks), "more_results_than_thinks"),
-        ((first_think == 0) & (first_tool < (1 << 30)) | (first_tool < first_think), "tool_before_think"),
-        (rest != "", "outside_text"),
-        (F.exists(blocks, lambda b: ~b["closed"]), "unclosed"),
     ]
-    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules]))
+    return F.array_distinct(F.concat(faults, F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in rules]))))
+
+
+def tolerant_faults(blocks: Column, rest: Column) -> Column:
+    """Faults of the tolerant parser: text outside of blocks, closers without opener, blocks left open."""
+    stray = rf"</(?:{'|'.join(TAGS)})>"
+    loose = F.btrim(F.regexp_replace(rest, stray, ""))
+    rules = [(rest.rlike(stray), "stray_closer"), (loose != "", "outside_text"), (F.exists(blocks, lambda b: ~b["closed"]), "unclosed")]
+    return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in rules]))
+
+
+def format_errors(blocks: Column, rest: Column) -> Column:
+    """Names of the rules that blocks of the tolerant grammar break; rest: the text outside of them."""
+    return broken_rules(blocks, tolerant_faults(blocks, rest))
+
+
+def parsed_strict(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with blocks and errors by the strict grammar, in which tags nest and every closer ends the innermost."""
+    x = rows.withColumn("_p", parsers.parse_strict(T.rewrite_tags(F.col(text))))
+    return x.withColumns({"blocks": F.col("_p.blocks"), "errors": broken_rules(F.col("_p.blocks"), F.col("_p.faults"))}).drop("_p")
+
+
+def parsed_tolerant(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with blocks and errors by the tolerant grammar; tags are rewritten once."""
+    x = rows.withColumn("_t", T.rewrite_tags(F.col(text)))
+    x = x.withColumns({"blocks": parse_rewritten(F.col("_t")), "_rest": F.btrim(F.regexp_replace("_t", BLOCK, ""))})
+    return x.withColumn("errors", format_errors(F.col("blocks"), F.col("_rest"))).drop("_t", "_rest")
 
 
 def steps(parsed: DataFrame, sample: str) -> DataFrame:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage, its rows in the shared checkpoint folder (a temporary one where none is set, as in tests)."""
+    """``df`` cut from its lineage, its rows in the shared checkpoint folder; a temporary one where none is set, but only in local mode."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="strandline-"))
     return df.checkpoint(eager=True)
 
 
@@ -43,9 +46,9 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
 
 def backpropagate(nodes: DataFrame, rewards: DataFrame) -> DataFrame:
-    """(node, visits, q): how many rewards lie at or under each node, and their mean."""
+    """(node, visits, total, q): how many rewards lie at or under each node, their sum and their mean."""
     x = paths(nodes).join(rewards, "node").select(F.explode("path").alias("node"), "reward")
-    return x.groupBy("node").agg(F.count("*").alias("visits"), F.avg("reward").alias("q"))
+    return x.groupBy("node").agg(F.count("*").alias("visits"), F.sum("reward").alias("total"), F.avg("reward").alias("q"))
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:

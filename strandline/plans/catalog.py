@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.functions import scores as S
 from strandline.functions import text as T
 from strandline.operators import blocks, graph
+from strandline.operators import projections as P
 from strandline.operators import relational as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,8 +60,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trajectories(spark, sf_dir)
-    return t.withColumn("blocks", blocks.parse(F.col("body"))).withColumn("rest", blocks.outside(F.col("body"))).withColumn("errors", blocks.format_errors(F.col("blocks"), F.col("rest")))
+    return blocks.parsed_tolerant(trajectories(spark, sf_dir), "body")
 
 
 COUNTS = """
@@ -74,7 +74,7 @@ counts as (select t.conv_id, t.role, t.text, t.turn, t.last,
 per as (select conv_id, sum(thinks) as thinks, sum(answers) as answers, sum(tools) as tools, sum(bad) as bad, sum(said) as said,
   min(case when thinks = 1 then turn end) as first_think, min(case when tools = 1 then turn end) as first_tool from counts group by conv_id),
 rules as (select *, (case when answers <> 1 then 1 else 0 end + case when thinks = 0 then 1 else 0 end + case when answers <> 1 then 1 else 0 end
-  + case when first_tool is not null and (first_think is null or first_tool < first_think) then 1 else 0 end) as n_errors from per)"""
+  + case when first_tool is not null and (first_think is null or first_tool < first_think) then 2 else 0 end) as n_errors from per)"""
 
 
 @query(f"with {TURNS}, {COUNTS} select conv_id, thinks::bigint as n_think, tools::bigint as n_tool, answers::bigint as n_answer, n_errors::bigint as n_errors from rules")
@@ -89,13 +89,8 @@ def scored_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     results, thinks = F.filter(b, lambda x: x["tag"] == "result"), F.filter(b, lambda x: x["tag"] == "think")
     good = F.size(F.filter(results, lambda x: ~T.has_error(x["content"])))
     said = F.size(F.filter(thinks, lambda x: F.btrim(x["content"]) != ""))
-    parts = {
-        "format": F.greatest(F.lit(0.0), 100.0 - 20.0 * F.size("errors")),
-        "execution": F.when(F.size(results) == 0, F.lit(50.0)).otherwise(100.0 * good / F.size(results)),
-        "completion": F.when(F.exists(b, lambda x: (x["tag"] == "answer") & (F.btrim(x["content"]) != "")), F.lit(100.0)).otherwise(F.lit(0.0)),
-        "efficiency": 100.0 - F.least(F.lit(50.0), 10.0 * F.greatest(blocks.count_tag(b, *T.TOOL_TAGS) - 7, F.lit(0))),
-        "coherence": F.when(F.size(thinks) == 0, F.lit(0.0)).otherwise(100.0 * said / F.size(thinks)),
-    }
+    answered = F.exists(b, lambda x: (x["tag"] == "answer") & (F.btrim(x["content"]) != ""))
+    parts = S.parts_v1(F.size("errors"), F.size(results), good, answered, blocks.count_tag(b, *T.TOOL_TAGS) - 7, F.lit(0), F.size(thinks), said)
     return parsed(spark, sf_dir).select("conv_id", *[v.alias(k) for k, v in parts.items()]).withColumn("composite", S.composite_v1({k: F.col(k) for k in parts}))
 
 
@@ -311,10 +306,7 @@ def difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = F.col("quality").cast("string")
     tir, dr = T.answers_match((F.col("n_chars") % 2).cast("string"), ref), T.answers_match((F.col("doc_id") % 2).cast("string"), ref)
     x = x.select("doc_id", tir.alias("tir_correct"), dr.alias("dr"))
-    word = lambda c: F.when(c, "correct").otherwise("wrong")
-    n = F.when(F.col("dr") & F.col("tir_correct"), "1").when(F.col("dr"), "2").when(F.col("tir_correct"), "3").otherwise("4")
-    label = F.concat(F.lit("category_"), n, F.lit("_dr_"), word(F.col("dr")), F.lit("_tir_"), word(F.col("tir_correct")))
-    return x.select("doc_id", "tir_correct", F.when(F.col("dr").isNull() | F.col("tir_correct").isNull(), F.lit(None)).otherwise(label).alias("difficulty"))
+    return x.select("doc_id", "tir_correct", P.difficulty(F.col("dr"), F.col("tir_correct")).alias("difficulty"))
 
 
 @query("""select c_custkey, o_orderkey, o_orderpriority from customer left join (select *, row_number() over (partition by o_custkey order by o_orderkey) as rk from orders) o on o.o_custkey = c_custkey and rk = 1""")
@@ -356,7 +348,7 @@ def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.greedy_diverse(path_sets(spark, sf_dir), "src", "score", "cand", "x")
 
 
-TREE = "nodes as (select event_id as node, case when event_id > 1 then event_id // 2 end as parent, value from events where event_id between 1 and 2000)"
+TREE = "nodes as (select event_id as node, case when event_id > 1 then event_id // 2 end as parent, value from events where event_id >= 1)"
 
 
 def heap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,12 +371,12 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.root_paths(heap(spark, sf_dir).select("node", "parent"))
 
 
-@query(f"with recursive {TREE}, up as (select node, node as anc, value from nodes union all select up.node, p.parent, up.value from up join nodes p on p.node = up.anc where p.parent is not null) select anc as node, count(*) as visits, round(avg(value), 4) as q from up group by anc")
+@query(f"with recursive {TREE}, up as (select node, node as anc, value from nodes union all select up.node, p.parent, up.value from up join nodes p on p.node = up.anc where p.parent is not null) select anc as node, count(*) as visits, sum(round(value * 10000)::bigint)::bigint as total from up group by anc")
 def backprop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits and mean reward of every node from those below."""
+    """Visits and the sum of rewards (in ten-thousandths) of every node from those below."""
     n = heap(spark, sf_dir)
-    x = graph.backpropagate(n.select("node", "parent"), n.select("node", F.col("value").alias("reward")))
-    return x.select("node", "visits", r4(F.col("q")).alias("q"))
+    x = graph.backpropagate(n.select("node", "parent"), n.select("node", F.round(F.col("value") * 10_000).cast("bigint").alias("reward")))
+    return x.select("node", "visits", "total")
 
 
 @query("select distinct c_custkey as node from customer where c_custkey not in (select o_custkey from orders)")
@@ -534,10 +526,12 @@ def react_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    importlib.import_module("strandline.plans.records")
+    for name in ("records", "evidence"):
+        importlib.import_module(f"strandline.plans.{name}")
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    importlib.import_module("strandline.plans.records")
+    for name in ("records", "evidence"):
+        importlib.import_module(f"strandline.plans.{name}")
     return dict(_ORACLE)

@@ -65,7 +65,7 @@ def structured_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and columns of nested data, as JSON or as a Python literal in a fence."""
     k = F.get_json_object("props", "$.k")
     data = F.concat(F.lit('{"info": [{"rows": '), k, F.lit(', "column_names": ["id", "c'), k, F.lit('", 7]}]}'))
-    python = F.concat(F.lit("see\n```python\n"), F.translate(data, '"', "'"), F.lit("\n```"))
+    python = F.concat(F.lit("see\n```json\n"), F.translate(data, '"', "'"), F.lit("\n```"))
     x = table(spark, sf_dir, "events").select("event_id", F.explode(parsers.structured_facts(F.when(c("event_id") % 2 == 0, data).otherwise(python))).alias("f"))
     return x.select("event_id", "f.kind", "f.label", "f.value")
 
@@ -160,7 +160,7 @@ def chain_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chain(x, "conv_id", "turn").select("conv_id", "turn", "node", "parent", F.get("children", F.lit(0)).alias("child"))
 
 
-@query("with recursive nodes as (select event_id as node, case when event_id > 1 then event_id // 2 end as parent from events where event_id between 1 and 2000), down as (select node, 0 as level from nodes where parent is null union all select n.node, level + 1 from down d join nodes n on n.parent = d.node) select level::bigint as level, count(*) as n from down group by 1")
+@query("with recursive nodes as (select event_id as node, case when event_id > 1 then event_id // 2 end as parent from events where event_id >= 1), down as (select node, 0 as level from nodes where parent is null union all select n.node, level + 1 from down d join nodes n on n.parent = d.node) select level::bigint as level, count(*) as n from down group by 1")
 def tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes by level of a tree of events."""
     return graph.levels(heap(spark, sf_dir).select("node", "parent")).groupBy(c("level").cast("bigint").alias("level")).agg(F.count("*").alias("n"))

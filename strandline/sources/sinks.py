@@ -16,6 +16,24 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", True).json(path)
 
 
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """More lines in a folder of JSON lines. Not idempotent: rows that are written again are there twice."""
+    write_jsonl(df, path, "append")
+
+
+def write_pretty(df: DataFrame, path: str, single: bool = False) -> None:
+    """One indented JSON array of all rows, or the one row as an object, in a file of one task: for reports, not for tables."""
+    row = F.to_json(F.struct(*df.columns), {"pretty": "true", "ignoreNullFields": "false"})
+    lines = df.coalesce(1).select(row.alias("value"))
+    out = lines.limit(1) if single else lines.mapInArrow(_bracketed, "value string")
+    out.coalesce(1).write.mode("overwrite").text(path)
+
+
+def append_array(new: DataFrame, old: DataFrame, path: str) -> None:
+    """A record file of old rows and new ones, written to a new folder (the old one is still being read)."""
+    write_records(old.unionByName(new, allowMissingColumns=True), path, True)
+
+
 def merge_jsonl(new: DataFrame, processed: DataFrame, old: DataFrame, path: str, key: str = "sample_id") -> None:
     """Rewrite a record file with processed keys replaced, in a new folder (the old one is still being read)."""
     write_jsonl(upsert(old, new, processed, key), path)

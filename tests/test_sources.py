@@ -14,7 +14,7 @@ def test_meta_outputs(spark, tmp_path):
     (tmp_path / "c.txt").write_text("")
     paths = spark.createDataFrame([("a.json",), ("b.json",), ("c.txt",), ("d.json",), (None,)], "rel_path string")
     got = {r.rel_path: (r.exists, r.non_empty, r.valid_json) for r in records.read_meta_outputs(spark, paths, str(tmp_path)).collect()}
-    assert got == {"a.json": (True, True, True), "b.json": (True, True, False), "c.txt": (False, False, None), "d.json": (False, False, False), None: (False, False, None)}
+    assert got == {"a.json": (True, True, True), "b.json": (True, True, False), "c.txt": (True, False, None), "d.json": (False, False, False), None: (False, False, None)}
 
 
 def test_slice_by_name(spark):
