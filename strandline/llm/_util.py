@@ -72,9 +72,3 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def matching(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of ``docs`` whose doc_id is (left_semi), or isn't (left_anti), in the one column of ``ids``, whatever the names of their columns."""
-    ids = ids.toDF(free_name(docs, "_id"))
-    return docs.join(ids, docs["doc_id"] == ids[ids.columns[0]], how)

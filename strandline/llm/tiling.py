@@ -25,10 +25,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from ._util import durable, matching, text_or_empty
+from ._util import text_or_empty
 from ._words import mix
 
 MATCH = 5
@@ -43,11 +44,11 @@ def tokens(text: str | None) -> list[str]:
     return _TOKEN.findall((text or "").lower())
 
 
-def _windows(tokens: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
+def _windows(tokens: list[int], marks: bytearray, size: int) -> Iterator[tuple[int, int]]:
     """(start, hash) of all windows of ``size`` unmarked tokens, the hash carried on from window to window."""
     drop, h, run = pow(_BASE, size, _MOD), 0, 0
     for i, t in enumerate(tokens):
-        if not free[i]:
+        if marks[i]:
             h = run = 0
             continue
         h = (h * _BASE + t + 1) % _MOD
@@ -61,38 +62,49 @@ def _windows(tokens: list[int], free: list[bool], size: int) -> Iterator[tuple[i
 def tile(text: list[int], item: list[int], least: int = MATCH) -> list[tuple[int, int, int]]:
     """Tiles (start in text, start in item, length) of at least ``least`` tokens; longer ones first, then earlier in item and text.
 
-    A value of -1 matches nothing.  Each round finds the longest match among
-    unmarked tokens: hashed windows of the search length, which doubles while
-    something is found and else is bisected.
+    A value of -1 matches nothing.  Each round finds by bisection the greatest
+    length at which unmarked windows still match, with running hashes, and
+    marks the matches of that length.  Windows of one hash are kept in a
+    list, of which a beginning that marks have reached is never looked at
+    again: a round takes time in proportion to text and item, however often
+    they repeat themselves.
     """
-    free_t, free_i = [t >= 0 for t in text], [t >= 0 for t in item]
+    marks_t, marks_i = bytearray(t < 0 for t in text), bytearray(t < 0 for t in item)
     tiles: list[tuple[int, int, int]] = []
 
-    def matches(size: int) -> list[tuple[int, int]]:
-        table = defaultdict(list)
-        for j, h in _windows(item, free_i, size):
-            table[h].append(j)
-        return [(j, i) for i, h in _windows(text, free_t, size) if h in table for j in table[h] if text[i : i + size] == item[j : j + size]]
+    def starts(size: int) -> tuple[list[tuple[int, int]], dict[int, list[int]]]:
+        """Item windows that occur in the text, and where."""
+        own = list(_windows(item, marks_i, size))
+        wanted = {h for _, h in own}
+        found = defaultdict(list)
+        for i, h in _windows(text, marks_t, size):
+            if h in wanted:
+                found[h].append(i)
+        return [(j, h) for j, h in own if h in found], found
+
+    def matching(size: int) -> bool:
+        own, found = starts(size)
+        return any(text[i : i + size] == item[j : j + size] for j, h in own for i in found[h][:1])
 
     top = min(len(text), len(item))
-    while top >= least:
-        low, high, best = least, top, []
-        if not (found := matches(low)):
-            break
-        best = [(low, found)]
-        while low < high:  # the greatest length at which windows still match
+    while top >= least and matching(least):
+        low, high = least, top
+        while low < high:
             middle = (low + high + 1) // 2
-            if found := matches(middle):
-                low, best = middle, [(middle, found)]
-            else:
-                high = middle - 1
-        size, found = best[0]
-        for j, i in sorted(found):
-            if all(free_t[i : i + size]) and all(free_i[j : j + size]):
-                tiles.append((i, j, size))
-                free_t[i : i + size] = [False] * size
-                free_i[j : j + size] = [False] * size
-        top = size
+            low, high = (middle, high) if matching(middle) else (low, middle - 1)
+        own, found = starts(low)
+        at = dict.fromkeys(found, 0)
+        for j, h in own:
+            if marks_i.find(1, j, j + low) >= 0:
+                continue
+            places, k = found[h], at[h]
+            while k < len(places) and marks_t.find(1, places[k], places[k] + low) >= 0:
+                k += 1
+            at[h] = k
+            if k < len(places) and text[places[k] : places[k] + low] == item[j : j + low]:
+                tiles.append((places[k], j, low))
+                marks_t[places[k] : places[k] + low] = marks_i[j : j + low] = b"\1" * low
+        top = low
     return tiles
 
 
@@ -140,22 +152,31 @@ class Index:
         run = np.convolve(known, np.ones(self.least, int), "valid") == self.least
         if not run.any():
             return
-        h = np.unique(_hashes(ids, self.least)[run])
+        windows = _hashes(ids, self.least)
+        windows[~run] = 0
+        h = np.unique(windows[run])
         h = h[self.distinct[np.minimum(np.searchsorted(self.distinct, h), len(self.distinct) - 1)] == h]
         if not len(h):
             return
         a, b = np.searchsorted(self.seeds, h, "left"), np.searchsorted(self.seeds, h, "right")
         hits = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)])
-        under = defaultdict(set)
-        for k, j in zip(self.where[hits].tolist(), self.at[hits].tolist(), strict=True):
-            under[k].update(range(j, j + self.least))
-        own = None
-        for k, positions in sorted(under.items()):
+        order = np.argsort(self.where[hits], kind="stable")
+        hits = hits[order]
+        for k in np.unique(self.where[hits]).tolist():
             item_id, item = self.items[k]
-            if len(positions) < self.coverage * len(item):
+            mine = hits[np.searchsorted(self.where[hits], k) : np.searchsorted(self.where[hits], k, "right")]
+            under = np.zeros(len(item), bool)
+            for shift in range(self.least):
+                under[self.at[mine] + shift] = True
+            if under.sum() < self.coverage * len(item):
                 continue
-            if own is None:
-                own = [t or -1 for t in ids.tolist()]
+            # Tiles lie under the item's own seeds, in the text too: nothing else of it is looked at.
+            seeded = np.flatnonzero(np.isin(windows, self.seeds[mine]) & run)
+            kept = np.zeros(len(ids) + 1, bool)
+            for shift in range(self.least):
+                kept[seeded + shift] = True
+            places = np.flatnonzero(kept[:-1] | np.roll(kept, 1)[:-1])
+            own = np.where(kept[places], ids[places], -1).tolist()
             tiles = tile(own, item, self.least)
             covered = sum(t[2] for t in tiles)
             if covered >= self.coverage * len(item):
@@ -180,7 +201,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     Columns: doc_id, item_id, coverage, covered, item_tokens, tiles, longest.
     Null and empty texts match nothing, items without tokens neither.  Items
     of fewer than ``least`` tokens must occur word for word.  Repeated rows
-    give repeated results.
+    give repeated results, rows without doc_id too; empty tables give none.
+    Of matches of one length the earlier in the item, then in the text, is
+    marked first.  Texts are read whole, very long and repetitive ones in
+    time that grows with their length.  Columns other than doc_id, item_id
+    and text are not read, whatever their names.
     """
     spark: SparkSession = docs.sparkSession
     out = None
@@ -199,7 +224,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
-    """The rows of ``docs``, with its columns, that no item contaminates. Rows without doc_id stay."""
-    leaks = contaminated(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct()
-    return matching(docs, durable(leaks), "left_anti")
+def _clean(index: object) -> Column:
+    """Whether no item of a broadcast index contaminates the text."""
+
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([not t or next(index.value.match(t), None) is None for t in text.to_pylist()], pa.bool_())
+
+    return F.arrow_udf(run, BooleanType())(text_or_empty())
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MATCH, block: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of ``docs``, with its columns, that no item contaminates: each is decided on its own, whatever its id."""
+    out = docs
+    for items in _blocks(benchmark, block):
+        out = out.where(_clean(docs.sparkSession.sparkContext.broadcast(Index(items, least, coverage))))
+    return out
