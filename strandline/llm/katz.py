@@ -15,9 +15,9 @@ serve three passes (counts of counts; what each word gives to contexts; sums
 per document).  A score falls apart into terms of the predicted word, the
 count of each context (added where that word is predicted itself) and the
 backoff weight of contexts of unseen bigrams, which alone travel to the
-partition of the context.  Frequent words (``HOT`` of a sample at least) are
-spread over all partitions by their bigram; their totals are few and are
-sent to every task.  Rows are told apart by their place in the input, so
+partition of the context.  Words that would weigh in one partition (see
+``HOT_PARTS``) are spread over all partitions by their bigram; their totals
+are few and are sent to every task.  Rows are told apart by their place in the input, so
 repeated ids are scored each on its own.
 """
 
@@ -35,8 +35,8 @@ from ._words import blocks, mix, word_hashes
 
 K = 5
 REST = 0.01
-#: Least share of the sample's tokens of a word that is spread out; at most 1 / HOT words can be.
-HOT = 1 / 1000
+#: A word with this share of a partition's tokens, by the sample, is spread over all partitions; so at most HOT_PARTS words a partition are.
+HOT_PARTS = 4
 SAMPLE = 32
 #: Tokens that a task packs at once.
 PACK = 2_500_000
@@ -106,36 +106,36 @@ def _pack(doc: np.ndarray, context: np.ndarray, word: np.ndarray) -> dict:
     return {"word": word[kind], "pairs": small(np.diff(np.searchsorted(pair, kind), append=len(pair))), "names": names, "context": small(index), "times": small(np.diff(pair, append=len(doc))), "doc": small(doc)}
 
 
-def _unpack(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document's place, context, word) of the tokens."""
-    times = x["times"].astype(np.int64)
-    word = np.repeat(np.repeat(x["word"], x["pairs"].astype(np.int64)), times)
-    return x["doc"].astype(np.int64), np.repeat(x["names"][x["context"]], times), word
-
-
 class _Table:
     """All tokens of one partition, sorted by word and context, with their training counts."""
 
     def __init__(self, packs: list[dict], hot: np.ndarray, totals: dict[int, int] | None):
-        place, context, word, train = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, bool)]
-        ids, first = [], 0
+        places, contexts, kinds, trains, ids = [np.empty(0, np.int32)], [np.empty(0, np.uint64)], [np.empty(0, np.int32)], [np.empty(0, bool)], [np.empty(0, np.int64)]
+        names = np.unique(np.concatenate([np.empty(0, np.uint64), *(x["word"] for x in packs)]))
+        first = 0
         for x in packs:
-            d, c, w = _unpack(x)
-            place.append(d + first)
-            context.append(c)
-            word.append(w)
-            train.append(~x["held"][d])
+            times = x["times"].astype(np.int64)
+            contexts.append(np.repeat(x["names"][x["context"]], times))
+            kinds.append(np.repeat(np.repeat(np.searchsorted(names, x["word"]).astype(np.int32), x["pairs"].astype(np.int64)), times))
+            places.append(x["doc"].astype(np.int32) + np.int32(first))
+            trains.append(~x["held"][x["doc"]])
             ids.append(x["rows"])
             first += len(x["held"])
-        self.ids = np.concatenate(ids) if ids else np.empty(0, np.int64)
-        place, context, word, train = map(np.concatenate, (place, context, word, train))
-        order = np.lexsort((context, word))
-        self.place, self.context, self.word, self.train = place[order], context[order], word[order], train[order]
-        self.pair, self.kind = _runs(self.word, self.context), _runs(self.word)
+        self.ids = np.concatenate(ids)
+        # Numbers in place of words, and each column freed as it is put in order: a partition's tokens are held about twice at most.
+        context, kind = np.concatenate(contexts), np.concatenate(kinds)
+        del contexts, kinds
+        order = np.lexsort((context, kind))
+        self.context, kind = context[order], kind[order]
+        del context
+        self.pair, self.kind = _runs(kind, self.context), _runs(kind)
+        self.names = names[kind[self.kind]]
+        del kind
+        self.place, self.train = np.concatenate(places)[order], np.concatenate(trains)[order]
+        del places, trains
         seen = np.concatenate([[0], np.cumsum(self.train)])
         self.c12 = np.diff(seen[np.append(self.pair, len(order))])
         self.c2 = np.diff(seen[np.append(self.kind, len(order))])
-        self.names = self.word[self.kind]
         self.is_hot = np.isin(self.names, hot)
         if totals is not None:
             for i in np.flatnonzero(self.is_hot):
@@ -197,12 +197,15 @@ def _weights(packs: list[dict], hot: np.ndarray, m: Model, parts: int) -> Iterat
     c12, c2 = t.c12[seen], t.c2[t.kind_of_pair][seen]
     name, lost, lower = _grouped(t.context[t.pair][seen], c12 - kept(c12, m.d2), m.p1(c2))
     common = np.isin(name, hot)
-    yield parts, (name[common], lost[common], lower[common])
+    to = _part(name, None, hot, parts)
+    for p in np.unique(to[common]).tolist():
+        own = common & (to == p)
+        yield p, (name[own], lost[own], lower[own])
     new = t.per_token(~seen)
     ask, row = t.context[new], t.ids[t.place[new]]
     rare = ~np.isin(ask, hot)
     ask, row = ask[rare], row[rare]
-    to, ask_to = _part(name, None, hot, parts), _part(ask, None, hot, parts)
+    ask_to = _part(ask, None, hot, parts)
     for p in range(parts):
         a, b = (to == p) & ~common, ask_to == p
         if a.any() or b.any():
@@ -211,6 +214,7 @@ def _weights(packs: list[dict], hot: np.ndarray, m: Model, parts: int) -> Iterat
 
 def _backed_off(found: list[tuple], parts: int) -> Iterator[tuple[int, tuple]]:
     """log10 of a(w1) c1 for every unseen bigram, summed by text. A context never seen in training has none."""
+    found = [x for x in found if len(x) == 5]
     if not found:
         return
     name, lost, lower = _grouped(*(np.concatenate([x[i] for x in found]) for i in range(3)))
@@ -223,6 +227,12 @@ def _backed_off(found: list[tuple], parts: int) -> Iterator[tuple[int, tuple]]:
             yield p, (row[b], more[b])
 
 
+def _common(found: list[tuple]) -> list[tuple]:
+    """What frequent contexts lose, of those of one partition."""
+    found = [x for x in found if len(x) == 3]
+    return [_grouped(*(np.concatenate([x[i] for x in found]) for i in range(3)))] if found else []
+
+
 def log_weight(lost: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """log10 of a(w1) c1: the mass left, in occurrences, over that left by the words in P."""
     return np.log10(np.maximum(lost, 1e-300) / np.maximum(1 - lower, 1e-300))
@@ -253,7 +263,7 @@ def _sums(packs: list[dict], hot: np.ndarray, m: Model, weight: tuple[np.ndarray
     total = lambda of_pair: np.bincount(t.place, t.per_token(of_pair), n)
     count, known, base, score = np.bincount(t.place, minlength=n), total(c2 > 0), total(m.base(c2)), total(part)
     doc = np.concatenate([x["ids"] for x in packs])
-    held = np.concatenate([x["held"] for x in packs])
+    held, none = (np.concatenate([x[k] for x in packs]) for k in ("held", "none"))
     # A text's first token is in one partition only; its id goes with that.
     start = np.zeros(n, bool)
     start[t.place[t.context == START]] = True
@@ -264,7 +274,7 @@ def _sums(packs: list[dict], hot: np.ndarray, m: Model, weight: tuple[np.ndarray
         at = order[b]
         own = at[start[at]]
         row = t.ids[at]
-        yield p, (row[:1], small(np.diff(row)), small(count[at]), small(known[at].astype(np.int64)), base[at], score[at], t.ids[own], doc[own], held[own])
+        yield p, (row[:1], small(np.diff(row)), small(count[at]), small(known[at].astype(np.int64)), base[at], score[at], t.ids[own], doc[own], held[own], none[own])
 
 
 def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = None) -> DataFrame:
@@ -273,14 +283,18 @@ def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = N
     held_out: rows that are not learned from, by default those whose CRC-32
     of the id as text is 2 modulo 7.  A null id counts as '' there.  Null,
     empty and blank texts consist of their end.  With no row to learn from,
-    every token is unknown: its score is 0.  parts: partitions of the tables,
-    by default twice as many as the input has.
+    every token is unknown: its score is 0; an empty table gives no rows.
+    Repeated rows are learned from and scored each on its own; texts are read
+    whole, very long ones too.  Ties don't arise.  Columns other than doc_id
+    and text are not read, whatever their names.  parts: partitions of the
+    tables, by default twice as many as the input has.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     flag = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2 if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), flag.alias("held"), F.monotonically_increasing_id().alias("row"))
     parts = parts or max(16, 2 * rows.rdd.getNumPartitions())
+    share = 1 / (HOT_PARTS * parts)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +304,7 @@ def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = N
 
     some = rows.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(sample, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     size = some.agg(F.sum("n")).first()[0] or 0
-    hot = np.array([r.w for r in some.where(F.col("n") >= size * HOT).collect()], np.int64).view(np.uint64)
+    hot = np.array([r.w for r in some.where(F.col("n") >= size * share).collect()], np.int64).view(np.uint64)
     hot = sc.broadcast(np.unique(np.append(hot, [START, END])))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,12 +317,12 @@ def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = N
                 at = order[cut[p] : cut[p + 1]]
                 if len(at):
                     present, local = np.unique(doc[at], return_inverse=True)
-                    x = _pack(local, context[at], word[at]) | {"ids": np.concatenate(ids)[present], "held": np.concatenate(flags)[present], "rows": np.concatenate(places)[present]}
+                    x = _pack(local, context[at], word[at]) | {"ids": np.concatenate(ids)[present], "held": np.concatenate(flags)[present], "none": np.concatenate(nulls)[present], "rows": np.concatenate(places)[present]}
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([pickle.dumps(x, 5)], pa.binary())], ["p", "x"])
 
-        held, ids, flags, places, n, count = [], [], [], [], 0, 0
+        held, ids, flags, nulls, places, n, count = [], [], [], [], [], 0, 0
         for batch in batches:
-            doc_id = np.array([-(1 << 63) if v is None else v for v in batch.column("doc_id").to_pylist()], np.int64)
+            doc_id, null = np.array([v or 0 for v in batch.column("doc_id").to_pylist()], np.int64), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             flag, place = np.array(batch.column("held").to_pylist(), bool), np.array(batch.column("row").to_pylist(), np.int64)
             for first, texts in blocks(batch.column("text").to_pylist()):
                 doc, context, word = _tokens(texts)
@@ -316,11 +330,12 @@ def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = N
                 own = slice(first, first + len(texts))
                 ids.append(doc_id[own])
                 flags.append(flag[own])
+                nulls.append(null[own])
                 places.append(place[own])
                 n, count = n + len(doc), count + len(texts)
                 if n >= PACK:
                     yield from out()
-                    held, ids, flags, places, n, count = [], [], [], [], 0, 0
+                    held, ids, flags, nulls, places, n, count = [], [], [], [], [], 0, 0
         if held:
             yield from out()
 
@@ -330,11 +345,11 @@ def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = N
     found = tables.mapPartitions(lambda items: [_counts(packs(items), hot.value)]).treeReduce(_add) if not rows.isEmpty() else zero
     texts = found["hot"].get(int(END), 0)
     model = sc.broadcast(Model(found, texts))
-    given = tables.mapPartitions(lambda items: [(p, pickle.dumps(x, 5)) for p, x in _weights(packs(items), hot.value, model.value, parts)]).partitionBy(parts + 1, lambda p: p)
-    common = given.filter(lambda kv: kv[0] == parts).values().map(pickle.loads)
-    name, lost, lower = common.treeReduce(lambda a, b: _grouped(*(np.concatenate([a[i], b[i]]) for i in range(3)))) if not rows.isEmpty() else [np.empty(0)] * 3
+    given = tables.mapPartitions(lambda items: [(p, pickle.dumps(x, 5)) for p, x in _weights(packs(items), hot.value, model.value, parts)]).partitionBy(parts, lambda p: p)
+    common = given.mapPartitions(lambda items: _common(packs(items)))
+    name, lost, lower = common.treeReduce(lambda a, b: _grouped(*(np.concatenate([a[i], b[i]]) for i in range(3)))) if not rows.isEmpty() and not common.isEmpty() else [np.empty(0)] * 3
     weight = sc.broadcast((name, log_weight(lost, lower)))
-    more = given.filter(lambda kv: kv[0] < parts).mapPartitions(lambda items: [(p, pickle.dumps(x, 5)) for p, x in _backed_off(packs(items), parts)])
+    more = given.mapPartitions(lambda items: [(p, pickle.dumps(x, 5)) for p, x in _backed_off(packs(items), parts)])
     sums = tables.mapPartitions(lambda items: [(p, pickle.dumps(x, 5)) for p, x in _sums(packs(items), hot.value, model.value, weight.value, parts)])
 
     def gather(items: Iterator[tuple[int, bytes]]) -> Iterator[tuple[bytes]]:
@@ -343,19 +358,19 @@ def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = N
             row = np.concatenate([np.cumsum(np.append(x[0], x[1].astype(np.int64))) for x in whole])
             values = [np.concatenate([x[i].astype(float if i > 3 else np.int64) for x in whole]) for i in range(2, 6)]
             row, n, known, base, score = _grouped(row, *values)
-            first, doc, held = (np.concatenate([x[i] for x in whole]) for i in range(6, 9))
+            first, doc, held, none = (np.concatenate([x[i] for x in whole]) for i in range(6, 10))
             order = np.argsort(first, kind="stable")
-            doc, held = doc[order], held[order]
+            doc, held, none = doc[order], held[order], none[order]
             for own, extra in (x for x in found if len(x) == 2):
                 np.add.at(score, np.searchsorted(row, own), extra)
-            yield (pickle.dumps((doc, held, n, known, base, score), 5),)
+            yield (pickle.dumps((doc, held, none, n, known, base, score), 5),)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                doc, held, n, known, base, score = pickle.loads(x)
+                doc, held, none, n, known, base, score = pickle.loads(x)
                 total = np.full(len(doc), model.value.total)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=doc == -(1 << 63)), pa.array(held), *(pa.array(v, pa.int64()) for v in (n, known, total)), pa.array(base), pa.array(score)], [c.split()[0] for c in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64(), mask=none), pa.array(held), *(pa.array(v, pa.int64()) for v in (n, known, total)), pa.array(base), pa.array(score)], [c.split()[0] for c in SCHEMA.split(", ")])
 
     packed = sums.union(more).partitionBy(parts, lambda p: p).mapPartitions(gather)
     return spark.createDataFrame(packed, "x binary", verifySchema=False).mapInArrow(write, SCHEMA)
