@@ -73,8 +73,27 @@ def recoveries(steps: DataFrame, sample: str, order: list[str], failed: str, op:
 
 
 def tool_threshold(counts: DataFrame, group: str, count: str, base: int = 10) -> DataFrame:
-    """The call threshold of each group: the order statistic at 0.8, or the maximum of three or fewer, within base..15."""
-    n = F.size("c")
-    anchor = F.when(n <= 3, F.array_max("c")).otherwise(F.element_at("c", (F.bround(0.8 * (n - 1)) + 1).cast("int")))
-    x = counts.where(F.col(count) > 0).groupBy(group).agg(F.array_sort(F.collect_list(count)).alias("c"))
-    return x.select(group, F.greatest(F.lit(base), F.least(F.lit(15), anchor)).cast("bigint").alias("threshold"))
+    """The call threshold of each group: the order statistic at 0.8, or the maximum of three or fewer, within base..15.
+
+    Counts are few, however many there are of each: the statistic is read off
+    their running numbers.
+    """
+    x = counts.where(F.col(count) > 0).groupBy(group, F.col(count).alias("c")).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(W.partitionBy(group).orderBy("c"))
+    total = F.sum("k").over(W.partitionBy(group))
+    wanted = F.when(total <= 3, total).otherwise(F.bround(0.8 * (total - 1)) + 1)
+    x = x.select(group, "c", (upto >= wanted).alias("reached")).where("reached").groupBy(group).agg(F.min("c").alias("anchor"))
+    return x.select(group, F.greatest(F.lit(base), F.least(F.lit(15), F.col("anchor"))).cast("bigint").alias("threshold"))
+
+
+def sibling_bias(nodes: DataFrame, family: str, visits: str, q: str, prior: str) -> DataFrame:
+    """``nodes`` with bias, the mean of q less prior over the visited of their family (null if none is), and family_visits."""
+    by_family = nodes.groupBy(family).agg(F.avg(F.when(F.col(visits) > 0, F.col(q) - F.col(prior))).alias("bias"), F.sum(visits).alias("family_visits"))
+    return nodes.join(by_family, family)
+
+
+def diverse_top(rows: DataFrame, group: str, kind: str, best: list, most: int) -> DataFrame:
+    """The best ``most`` rows of each group, the best one of each kind first."""
+    x = rows.withColumn("_rn", F.row_number().over(W.partitionBy(group, kind).orderBy(*best)))
+    x = x.withColumn("_rk", F.row_number().over(W.partitionBy(group).orderBy((F.col("_rn") > 1), *best)))
+    return x.where(F.col("_rk") <= most).drop("_rn", "_rk")

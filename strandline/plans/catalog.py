@@ -14,6 +14,7 @@ from strandline.functions import text as T
 from strandline.operators import blocks, graph
 from strandline.operators import projections as P
 from strandline.operators import relational as R
+from strandline.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -189,7 +190,9 @@ def ext_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where("exts <> ''")
 
 
-@query()
+@query(r"""with t as (select page_id, list_concat(regexp_extract_all(url, '(?:[A-Za-z]:)?(?:[/\\][^\s<>''"`]+)+'), regexp_extract_all(url, '\b[\w.\-]+\.[A-Za-z0-9]{1,8}\b')) as p from pages),
+ n as (select page_id, list_transform(p, lambda x: ltrim(regexp_replace(rtrim(replace(trim(x, '''"` '), '\', '/'), '.,;:'), '^file://', ''), './')) as p from t)
+ select page_id, array_to_string(list_sort(list_distinct(list_filter(p, lambda x: x <> ''))), ',') as paths from n""")
 def path_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path tokens of page addresses."""
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(T.path_tokens(F.col("url")), ",").alias("paths"))
@@ -342,7 +345,11 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where("j > 0.7").select("src", "a", "b", r4(F.col("j")).alias("j"))
 
 
-@query()
+@query("""with s as (select o.o_custkey as src, l.l_orderkey as cand, list(distinct l_linenumber) as x, any_value(o_totalprice) as score from lineitem l join orders o on o.o_orderkey = l.l_orderkey group by 1, 2),
+ r as (select *, row_number() over (partition by src order by score desc, cand) as n from s), a as (select src, x, n from r where n = 1),
+ b as (select r.src, r.x, r.n from r join a using (src) where r.n > 1 and len(list_intersect(r.x, a.x)) * 1.0 / len(list_distinct(list_concat(r.x, a.x))) <= 0.7 qualify row_number() over (partition by r.src order by r.n) = 1),
+ c as (select r.src, r.x, r.n from r join a using (src) join b using (src) where r.n > b.n and len(list_intersect(r.x, a.x)) * 1.0 / len(list_distinct(list_concat(r.x, a.x))) <= 0.7 and len(list_intersect(r.x, b.x)) * 1.0 / len(list_distinct(list_concat(r.x, b.x))) <= 0.7 qualify row_number() over (partition by r.src order by r.n) = 1),
+ u as (select src, n, 1 as rk from a union all select src, n, 2 from b union all select src, n, 3 from c) select src, cand, rk from u join r using (src, n)""")
 def greedy_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three diverse candidates of each source."""
     return R.greedy_diverse(path_sets(spark, sf_dir), "src", "score", "cand", "x")
@@ -421,20 +428,17 @@ def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
  select p_partkey, round(case when v = 0 then greatest(r + coalesce(bias, 0) - 0.1, 0) + r * sqrt(ln(greatest(pv, 1) + 1)) + 0.1 else q + r * sqrt(ln(greatest(pv, 1) + 1)) / sqrt(1 + v) + 0.1 end, 4) as uct from n join b using (p_brand)""")
 def uct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Selection value of siblings, with the bias of those visited."""
-    c, fam = F.col, W.partitionBy("p_brand")
+    c = F.col
     n = table(spark, sf_dir, "part").select("p_partkey", "p_brand", (c("p_partkey") % 4).alias("v"), (c("p_retailprice") / 2000).alias("q"), (c("p_size") / 50.0).alias("r"))
-    n = n.withColumn("bias", F.avg(F.when(c("v") > 0, c("q") - c("r"))).over(fam)).withColumn("pv", F.sum("v").over(fam))
-    return n.select("p_partkey", r4(S.uct(c("v"), c("pv"), c("q"), c("r"), F.lit(2), c("bias"))).alias("uct"))
+    n = R.sibling_bias(n, "p_brand", "v", "q", "r")
+    return n.select("p_partkey", r4(S.uct(c("v"), c("family_visits"), c("q"), c("r"), F.lit(2), c("bias"))).alias("uct"))
 
 
 @query("""with r as (select *, row_number() over (partition by p_brand, p_type order by p_retailprice desc, p_partkey) as rn from part), k as (select *, row_number() over (partition by p_brand order by (rn > 1), p_retailprice desc, p_partkey) as rk from r)
  select p_brand, p_partkey, p_type from k where rk <= 5""")
 def diversity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five of each group, one of each type first."""
-    best = [F.desc("p_retailprice"), "p_partkey"]
-    x = table(spark, sf_dir, "part").withColumn("rn", F.row_number().over(W.partitionBy("p_brand", "p_type").orderBy(*best)))
-    x = x.withColumn("rk", F.row_number().over(W.partitionBy("p_brand").orderBy((F.col("rn") > 1), *best)))
-    return x.where("rk <= 5").select("p_brand", "p_partkey", "p_type")
+    return R.diverse_top(table(spark, sf_dir, "part"), "p_brand", "p_type", [F.desc("p_retailprice"), "p_partkey"], 5).select("p_brand", "p_partkey", "p_type")
 
 
 @query("""with o as (select o_custkey, o_orderkey, o_totalprice, min(o_totalprice) over (partition by o_custkey) as lo, max(o_totalprice) over (partition by o_custkey) as hi, o_orderkey % 9 as tools, o_orderkey % 23 as len from orders)
@@ -504,14 +508,13 @@ def source_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select page_id, substr(regexp_replace(url, '[^a-zA-Z0-9._-]+', '_', 'g'), 1, 80) || '__' || substr(sha1(url), 1, 10) || '.json' as name from pages")
 def manifest_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names of manifests."""
-    clean = F.substring(F.regexp_replace("url", "[^a-zA-Z0-9._-]+", "_"), 1, 80)
-    return table(spark, sf_dir, "pages").select("page_id", F.concat(clean, F.lit("__"), F.substring(F.sha1("url"), 1, 10), F.lit(".json")).alias("name"))
+    return table(spark, sf_dir, "pages").select("page_id", sinks.manifest_name(F.col("url")).alias("name"))
 
 
 @query("select event_type as reason, count(*) as n from events group by 1")
 def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by value, null left out."""
-    return table(spark, sf_dir, "events").where("event_type is not null").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n"))
+    return P.counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("reason")), "reason")
 
 
 @query("select event_id, (props::json ->> 'k')::bigint as k, 'step ' || (props::json ->> 'k') as thought from events")

@@ -16,10 +16,10 @@ from strandline.plans.catalog import heap, query, r4, table
 c = F.col
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then 's' || doc_id::varchar when doc_id % 3 = 1 then md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) else 'sample_' || doc_id::varchar end as sample_id from documents where text is not null and trim(text) <> ''")
+@query("select doc_id, case when doc_id % 3 = 0 then 's' || doc_id::varchar when doc_id % 3 = 1 and regexp_matches(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]') then md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) else 'sample_' || doc_id::varchar end as sample_id from documents")
 def sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of records: given, from the query, or from the ordinal."""
-    d = table(spark, sf_dir, "documents").where("text is not null and trim(text) <> ''")
+    d = table(spark, sf_dir, "documents")
     given = F.when(c("doc_id") % 3 == 0, F.concat(F.lit("s"), c("doc_id").cast("string"))).otherwise("")
     x = d.select("doc_id", given.alias("task_id"), F.when(c("doc_id") % 3 == 1, c("text")).alias("question"))
     return x.select("doc_id", P.sample_id(x, "doc_id").alias("sample_id"))
