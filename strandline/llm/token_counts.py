@@ -79,8 +79,11 @@ class Trie:
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_pre_tokens, n_tokens.
 
-    Null, empty and blank texts have none.  Of segmentations that score
-    alike, the one whose last piece is shortest counts.
+    Null, empty and blank texts have none, an empty table gives no rows.  Of
+    segmentations that score alike, the one whose last piece is shortest
+    counts.  Texts and words are read whole, very long ones too; null ids and
+    repeated rows are counted as they come.  Columns other than doc_id and
+    text are not read, whatever their names.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
 

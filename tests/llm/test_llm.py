@@ -3,8 +3,10 @@
 import base64
 import json
 import math
+import os
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -12,7 +14,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import html, katz, minhash, queries, search, secrets, sharding, tiling, token_counts
+from strandline.llm import html, katz, minhash, quality, queries, search, secrets, sharding, tiling, token_counts
+
+sys.path.insert(0, os.path.dirname(__file__))
+from test_mixing import choose  # noqa: E402
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, c string, _id string, h string"
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -327,13 +332,35 @@ def test_queries_and_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()] == list(range(1, 11))
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {}
     folder = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = docs
         docs = stage(spark, docs, sf)
         assert docs.columns == before.columns, name
-        folder.append(docs.count())
+        kept[name] = [tuple(r) for r in docs.collect()]
+        docs = spark.createDataFrame(kept[name], before.schema).repartition(3)
+        folder.append(len(kept[name]))
+    # Each stage against its own brute force: posteriors above the threshold, a class's first row, prefixes chosen by hand.
+    good = {r.doc_id for r in quality.score(spark.read.parquet(f"{sf}/documents.parquet"), labels).where("keep").collect()}
+    assert {r[0] for r in kept["quality_classifier"]} == good
+    first, seen = set(), []
+    for r in sorted(kept["quality_classifier"]):
+        own = shingle_sets(r[1])
+        near = [n for n, (_, s) in enumerate(seen) if 10 * (both := sum((own & s).values())) >= 8 * (sum(own.values()) + sum(s.values()) - both)]
+        label = min([seen[n][0] for n in near], default=r[0])
+        for n in near:
+            for m, (k, s) in enumerate(seen):
+                if k == seen[n][0]:
+                    seen[m] = (label, s)
+        seen.append((label, own))
+    first = {k for k, _ in seen}
+    assert {r[0] for r in kept["near_dedup"]} == first
+    want = choose([(r[0], r[1], r[2], r[3]) for r in kept["decontaminate"]], None)
+    assert Counter((r[0], r[1], r[2], r[3]) for r in kept["mix_sources"]) == want
     out = corpus_pipeline.run(spark, sf)
+    assert set(docs.columns) <= set(out.columns) and Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in kept["mix_sources"])
     # Brute force: classes by all pairs of what the classifier keeps, leaks by plain search of whole items.
     assert out.count() == folder[-1]
     bench = [" ".join(tiling.tokens(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
