@@ -43,6 +43,8 @@ BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 #: Rounds in which a bucket's members are compared with one leader.
 LEADERS = 2
+#: Rows of a bucket, or pairs of a text, up to which they may be one task's.
+HOT_ROWS = 1_000
 #: Words of 64 bits in which the parities of a set's hashed elements are kept.
 PARITY = 8
 
@@ -184,9 +186,32 @@ def _by_prefix(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return here.join(few, "e").where("label <> al").where(once).where(room)
 
 
+def _least_hot(total: int) -> int:
+    """Rows of a key from which on it is split. Sizes add up to ``total``, so BROADCAST_ROWS keys at most have so many."""
+    return max(HOT_ROWS, -(-total // BROADCAST_ROWS))
+
+
+def _in_buckets(rows: DataFrame, buckets: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined with ``buckets`` (durable; bucket, m: its rows, ...): rows of large buckets stay where they are."""
+    hot = F.broadcast(buckets.where(F.col("m") >= _least_hot(total)))
+    cold = rows.join(hot.select("bucket"), "bucket", "left_anti").join(buckets.where(F.col("m") < _least_hot(total)), "bucket")
+    return rows.join(hot, "bucket").unionByName(cold)
+
+
+def _with_sets(pairs: DataFrame, side: str, other: str, sets: DataFrame, items: str, total: int) -> DataFrame:
+    """``pairs`` with the items of their ``side``; one that is in many pairs is copied to several tasks, which share its pairs."""
+    hot = pairs.groupBy(side).agg(F.count("*").alias("m")).where(F.col("m") >= _least_hot(total)).select(side, F.ceil(F.col("m") / _least_hot(total)).alias("ways"))
+    hot = F.broadcast(durable(hot))
+    dealt = pairs.join(hot, side, "left").withColumn("way", F.pmod(F.xxhash64(other), F.coalesce("ways", F.lit(1)))).drop("ways")
+    copies = sets.select(F.col("c").alias(side), F.col("items").alias(items)).join(hot, side, "left")
+    copies = copies.withColumn("way", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("ways", F.lit(1)) - 1))).drop("ways")
+    return dealt.join(copies, [side, "way"]).drop("way")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose texts have the similarity."""
-    x = pairs.join(sets.select(F.col("c").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("c").alias("a"), F.col("items").alias("x")), "a")
+    total = pairs.count()
+    x = _with_sets(_with_sets(pairs, "b", "a", sets, "y", total), "a", "b", sets, "x", total)
     shared = F.size(F.array_intersect("x", "y"))
     return x.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
 
@@ -203,8 +228,9 @@ def links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, Da
     sketches = docs.select("c", "text").where("text <> ''").mapInArrow(_sketch, "c binary, n int, bands array<bigint>")
     sketches = durable(sketches.groupBy("c").agg(F.first("n").alias("n"), F.first("bands").alias("bands")))
     spread = sketches.select("c", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    members = durable(spread.join(shared, "bucket"))
+    shared = durable(spread.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1"))
+    total = shared.agg(F.sum("m")).first()[0] or 0
+    members = durable(_in_buckets(spread, shared, total).drop("m"))
     sets = _sets(members, docs)
     close = F.least("n", "an") >= threshold * F.greatest("n", "an")
     one, two = F.least("a", "c").alias("a"), F.greatest("a", "c").alias("b")
@@ -213,8 +239,8 @@ def links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, Da
     for number in range(LEADERS + 1):
         if number < LEADERS:
             lead = F.min_by(F.struct(F.col("c").alias("a"), F.col("n").alias("an"), F.col("label").alias("al")), F.xxhash64("c", F.lit(number)))
-            leaders = here.groupBy("bucket").agg(lead.alias("l")).select("bucket", "l.*")
-            pairs = here.join(leaders, "bucket").where("label <> al").where(close).select(one, two).distinct()
+            leaders = durable(here.groupBy("bucket").agg(lead.alias("l"), F.count("*").alias("m")).select("bucket", "l.*", "m"))
+            pairs = _in_buckets(here, leaders, total).where("label <> al").where(close).select(one, two).distinct()
         else:
             pairs = _by_prefix(here.groupBy("c").agg(F.first("n").alias("n"), F.first("label").alias("label")), sets, threshold).where(close).select(one, two).distinct()
         pairs = durable(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
@@ -224,8 +250,8 @@ def links(docs: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, Da
         labels = components(edges)
         if number < LEADERS:
             here = members.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
-            mixed = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-            here = durable(here.join(mixed, "bucket"))
+            mixed = here.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low <> high")
+            here = durable(_in_buckets(here, durable(mixed.select("bucket", "m")), total).drop("m"))
             if here.isEmpty():
                 break
     return docs.select("doc_id", "c"), labels

@@ -85,7 +85,9 @@ def test_first_of_repeated_ids(spark):
     assert sorted(((r.doc_id or 0, r.text) for r in minhash.keep_first(docs).collect())) == sorted([(3, b), (5, a), (9, d), (9, e), (0, "alone")])
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("hot", [1_000, 5])
+def test_large_group_of_near_copies(spark, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "HOT_ROWS", hot)
     rng = random.Random(1)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
     rows = []
