@@ -230,3 +230,14 @@ def parts_v1(errors: Column, results: Column, succeeded: Column, answered: Colum
         "efficiency": F.greatest(F.lit(0.0), 100.0 - F.least(F.lit(50.0), 10.0 * F.greatest(over, F.lit(0))) - F.least(F.lit(40.0), 15.0 * duplicates)),
         "coherence": F.when(thinks == 0, F.lit(0.0)).otherwise(100.0 * said / thinks),
     }
+
+
+#: Tools that run programs, and the calls that are usual with them alone and else.
+RUNS = ("python", "bash", "sql", "code", "calculator")
+USUAL_RUNS, USUAL = 10, 7
+
+
+def usual_calls(tags: Column) -> Column:
+    """Calls that are usual for the tools seen: more where all of them run programs."""
+    only = (F.size(tags) > 0) & (F.size(F.array_except(tags, F.array(*[F.lit(t) for t in RUNS]))) == 0)
+    return F.when(F.coalesce(only, F.lit(False)), F.lit(USUAL_RUNS)).otherwise(F.lit(USUAL))

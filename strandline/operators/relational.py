@@ -97,3 +97,19 @@ def diverse_top(rows: DataFrame, group: str, kind: str, best: list, most: int) -
     x = rows.withColumn("_rn", F.row_number().over(W.partitionBy(group, kind).orderBy(*best)))
     x = x.withColumn("_rk", F.row_number().over(W.partitionBy(group).orderBy((F.col("_rn") > 1), *best)))
     return x.where(F.col("_rk") <= most).drop("_rn", "_rk")
+
+
+def zipped(a: Column, b: Column) -> Column:
+    """array<struct> of the elements of two arrays at the same place, as far as both go."""
+    return F.slice(F.arrays_zip(a, b), F.lit(1), F.greatest(F.lit(0), F.least(F.size(a), F.size(b))))
+
+
+def by_score(rows: DataFrame, group: str, score: str, order: str, most: int | None = None) -> DataFrame:
+    """``rows`` with rank (from 1) within their group by falling score, equal ones as they came; up to ``most``."""
+    x = rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(F.desc_nulls_last(score), order)))
+    return x if most is None else x.where(F.col("rank") <= most)
+
+
+def distinct_tools(steps: DataFrame, path: str, tool: str) -> DataFrame:
+    """(path, tools): different tools on each path; steps without a name are one."""
+    return steps.groupBy(path).agg(F.count_distinct(F.coalesce(tool, F.lit(""))).alias("tools"))
