@@ -309,10 +309,12 @@ def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = N
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[pa.RecordBatch]:
-            doc, context, word = (np.concatenate(x) for x in zip(*held, strict=True))
-            to = _part(word, context, hot.value, parts)
+            # One column after the other, so that the pieces don't stay beside the whole.
+            doc, context, word = (np.concatenate([h[k] for h in held]) for k in range(3))
+            held.clear()
+            to = _part(word, context, hot.value, parts).astype(np.min_scalar_type(parts))
             order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(parts + 1).astype(np.uint64))
+            cut = np.searchsorted(to[order], np.arange(parts + 1))
             for p in range(parts):
                 at = order[cut[p] : cut[p + 1]]
                 if len(at):
@@ -326,7 +328,7 @@ def score(docs: DataFrame, held_out: Column | None = None, parts: int | None = N
             flag, place = np.array(batch.column("held").to_pylist(), bool), np.array(batch.column("row").to_pylist(), np.int64)
             for first, texts in blocks(batch.column("text").to_pylist()):
                 doc, context, word = _tokens(texts)
-                held.append((doc + count, context, word))
+                held.append(((doc + count).astype(np.int32), context, word))
                 own = slice(first, first + len(texts))
                 ids.append(doc_id[own])
                 flags.append(flag[own])
