@@ -41,34 +41,38 @@ def count_tag(blocks: Column, *tags: str) -> Column:
     return F.size(F.filter(blocks, lambda b: b["tag"].isin(*tags)))
 
 
-def broken_rules(blocks: Column, faults: Column) -> Column:
-    """Names of the broken rules, the parser's faults first, each once."""
-    tag = F.transform(blocks, lambda b: b["tag"])
-    core = lambda t: t.isin(*T.CORE_TAGS)
-    answers, thinks, results = (count_tag(blocks, t) for t in ("answer", "think", "result"))
-    tools = F.size(F.filter(tag, lambda t: ~core(t)))
-    thought, answer = F.array_position(tag, "think"), F.array_position(tag, "answer")
-    # What stands before the first thought, or after the first answer; both have positions from 1.
-    after = lambda cond: F.exists(F.transform(tag, lambda t, i: cond(t) & (answer > 0) & (i + 1 > answer)), lambda x: x)
-    before = lambda cond: F.exists(F.transform(tag, lambda t, i: cond(t) & ((thought == 0) | (i + 1 < thought))), lambda x: x)
-    tool = lambda t: ~core(t)
+def broken_rules(tags: Column, faults: Column) -> Column:
+    """Names of the rules that a sequence of tags breaks, the parser's faults first, each once."""
+    n = F.size(tags)
+    count = lambda name: F.size(F.filter(tags, lambda t: t == name))
+    answers, thinks, results = count("answer"), count("think"), count("result")
+    tools = n - answers - thinks - results
+    thought, answer = F.array_position(tags, "think").cast("int"), F.array_position(tags, "answer").cast("int")
+    # What stands before the first thought, and after the first answer.
+    early = F.when(thought > 0, F.slice(tags, F.lit(1), thought - 1)).otherwise(tags)
+    late = F.when(answer > 0, F.slice(tags, answer + 1, n)).otherwise(F.slice(tags, 1, 0))
+    has_tool = lambda a: F.size(F.array_except(a, F.array(*[F.lit(t) for t in T.CORE_TAGS]))) > 0
     rules = [
-        (after(lambda t: t == "think"), "think_after_answer"),
-        (before(lambda t: t == "result"), "result_before_think"),
-        (after(lambda t: t == "result"), "result_after_answer"),
-        ((answer > 0) & (answer < F.size(tag)), "answer_not_last"),
-        (before(tool), "tool_before_think"),
-        (after(tool), "tool_after_answer"),
-        (F.size(blocks) == 0, "no_blocks"),
+        (F.array_contains(late, "think"), "think_after_answer"),
+        (F.array_contains(early, "result"), "result_before_think"),
+        (F.array_contains(late, "result"), "result_after_answer"),
+        (F.size(late) > 0, "answer_not_last"),
+        (has_tool(early), "tool_before_think"),
+        (has_tool(late), "tool_after_answer"),
+        (n == 0, "no_blocks"),
         (answers != 1, "answer_count"),
         (thinks == 0, "no_think"),
-        (F.coalesce(F.try_element_at(tag, F.lit(-1)), F.lit("")) != "answer", "last_not_answer"),
+        (F.coalesce(F.try_element_at(tags, F.lit(-1)), F.lit("")) != "answer", "last_not_answer"),
         ((tools > 0) & (tools != results), "tool_result_mismatch"),
         ((tools == 0) & (results > thinks), "more_results_than_thinks"),
     ]
     return F.array_distinct(F.concat(faults, F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in rules]))))
 
 
+def tags_of(blocks: Column) -> Column:
+    return F.transform(blocks, lambda b: b["tag"])
+
+
 def tolerant_faults(blocks: Column, rest: Column) -> Column:
     """Faults of the tolerant parser: text outside of blocks, closers without opener, blocks left open."""
     stray = rf"</(?:{'|'.join(TAGS)})>"
@@ -79,20 +83,22 @@ def tolerant_faults(blocks: Column, rest: Column) -> Column:
 
 def format_errors(blocks: Column, rest: Column) -> Column:
     """Names of the rules that blocks of the tolerant grammar break; rest: the text outside of them."""
-    return broken_rules(blocks, tolerant_faults(blocks, rest))
+    return broken_rules(tags_of(blocks), tolerant_faults(blocks, rest))
 
 
 def parsed_strict(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with blocks and errors by the strict grammar, in which tags nest and every closer ends the innermost."""
     x = rows.withColumn("_p", parsers.parse_strict(T.rewrite_tags(F.col(text))))
-    return x.withColumns({"blocks": F.col("_p.blocks"), "errors": broken_rules(F.col("_p.blocks"), F.col("_p.faults"))}).drop("_p")
+    x = x.withColumns({"blocks": F.col("_p.blocks"), "_tags": tags_of(F.col("_p.blocks"))})
+    return x.withColumn("errors", broken_rules(F.col("_tags"), F.col("_p.faults"))).drop("_p", "_tags")
 
 
 def parsed_tolerant(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with blocks and errors by the tolerant grammar; tags are rewritten once."""
     x = rows.withColumn("_t", T.rewrite_tags(F.col(text)))
     x = x.withColumns({"blocks": parse_rewritten(F.col("_t")), "_rest": F.btrim(F.regexp_replace("_t", BLOCK, ""))})
-    return x.withColumn("errors", format_errors(F.col("blocks"), F.col("_rest"))).drop("_t", "_rest")
+    x = x.withColumns({"_tags": tags_of(F.col("blocks")), "_faults": tolerant_faults(F.col("blocks"), F.col("_rest"))})
+    return x.withColumn("errors", broken_rules(F.col("_tags"), F.col("_faults"))).drop("_t", "_rest", "_tags", "_faults")
 
 
 def steps(parsed: DataFrame, sample: str) -> DataFrame:
