@@ -14,6 +14,10 @@ WORD = r"[A-Za-z0-9]+(?:'[A-Za-z0-9]+)?"
 NO_THOUGHT = "I have gathered enough metadata from the previous exploration steps; let me compile everything into the final answer."
 THOUGHT = "Now I have all the information needed to answer the question. Let me compile the metadata summary: "
 NO_STEPS = "(no prior code steps yet)"
+DIRECT = "<think>Based on the evidence, I can answer directly.</think>"
+NO_REASONS = "<think>No valid reasoning steps were provided.</think>\n<answer></answer>"
+START, DATASET = "Starting point: ", "\nDataset root path: "
+EARLIER, RECENT = "[Earlier step summaries]\n", "[Recent detailed steps]\n"
 STEP = "struct<text: string, think: string, python: string, result: string, answer: string>"
 
 
@@ -67,7 +71,7 @@ def chat_answer(steps: Column, answer: Column) -> Column:
     """The model's turn of a question: its steps by lines, with the answer after them if none of them has one; stock text without steps."""
     a, said = T.strip(F.coalesce(answer, F.lit(""))), T.strip(F.coalesce(F.array_join(steps, "\n"), F.lit("")))
     tagged = F.concat(F.lit("\n<answer>"), a, F.lit("</answer>"))
-    alone = F.when(a != "", F.concat(F.lit("<think>Based on the evidence, I can answer directly.</think>"), tagged)).otherwise("<think>No valid reasoning steps were provided.</think>\n<answer></answer>")
+    alone = F.when(a != "", F.concat(F.lit(DIRECT), tagged)).otherwise(NO_REASONS)
     return F.when(said == "", alone).when((a != "") & ~said.rlike(r"(?is)<answer>.*?</answer>"), F.concat(said, tagged)).otherwise(said)
 
 
@@ -85,7 +89,7 @@ def fallback_thought(answer: Column, markup: bool = False) -> Column:
 
 
 def root_observation(seed: Column, dataset: Column) -> Column:
-    return F.concat(F.lit("Starting point: "), F.coalesce(seed, F.lit("")), F.when(F.coalesce(dataset, F.lit("")) != "", F.concat(F.lit("\nDataset root path: "), dataset)).otherwise(""))
+    return F.concat(F.lit(START), F.coalesce(seed, F.lit("")), F.when(F.coalesce(dataset, F.lit("")) != "", F.concat(F.lit(DATASET), dataset)).otherwise(""))
 
 
 def action_catalog(types: dict[str, str] | list[str]) -> str:
@@ -108,8 +112,8 @@ def path_context(steps: DataFrame, sample: str, recent: int = 2, code_chars: int
     x = steps.withColumn("back", back).withColumn("shown", F.when(F.col("back") > recent, brief).otherwise(full))
     x = x.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct("step", "back", "shown"))).alias("s"))
     part = lambda cond, head, by: F.when(F.exists("s", cond), F.concat(F.lit(head), F.array_join(F.transform(F.filter("s", cond), lambda e: e["shown"]), by)))
-    whole = F.concat_ws("\n\n", part(lambda e: e["back"] > recent, "[Earlier step summaries]\n", "\n"), part(lambda e: e["back"] <= recent, "[Recent detailed steps]\n", "\n\n"))
-    return x.select(sample, T.clip(whole, total).alias("context"))
+    whole = F.concat_ws("\n\n", part(lambda e: e["back"] > recent, EARLIER, "\n"), part(lambda e: e["back"] <= recent, RECENT, "\n\n"))
+    return x.select(sample, F.coalesce(F.nullif(T.clip(whole, total), F.lit("")), F.lit(NO_STEPS)).alias("context"))
 
 
 def node_id(prefix: str, *parts: Column) -> Column:
